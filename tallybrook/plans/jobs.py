@@ -10,8 +10,10 @@
 from __future__ import annotations
 
 import argparse
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tallybrook.operators import checks, generate, gold, silver
@@ -56,11 +58,20 @@ def run_silver(spark: SparkSession, bronze_path: str = BRONZE_PATH, silver_path:
 
 
 def run_gold(spark: SparkSession, silver_path: str = SILVER_PATH, gold_path: str = GOLD_PATH) -> None:
-    """Rebuild the three Gold tables from all of Silver."""
+    """Rebuild the three Gold tables from all of Silver.
+
+    The writes do not depend on each other and are submitted together, so that one fills the cores
+    that the last tasks of another leave idle.
+    """
     session.configure(spark)
+
+    def write(item: tuple[str, DataFrame]) -> None:
+        tables.write_gold(item[1], gold_path, item[0])
+
     with gold.SharedMetrics(tables.read_silver(spark, silver_path)) as metrics:
-        for name, table in metrics.tables().items():
-            tables.write_gold(table, gold_path, name)
+        gold_tables = metrics.tables()
+        with ThreadPoolExecutor(len(gold_tables)) as writers:
+            list(writers.map(inheritable_thread_target(spark)(write), gold_tables.items()))
 
 
 def run_batch(

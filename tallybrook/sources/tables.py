@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybrook.contract import BRONZE_SCHEMA, GOLD_SCHEMAS, QUARANTINE_SCHEMA, SILVER_SCHEMA
+from tallybrook.contract import (
+    BRONZE_SCHEMA,
+    GOLD_GRAINS,
+    GOLD_SCHEMAS,
+    QUARANTINE_SCHEMA,
+    SILVER_SCHEMA,
+)
 
 
 def quarantine_path(bronze_path: str) -> str:
@@ -52,17 +58,19 @@ def read_gold(
     return _read(spark, f"{gold_path}/{table}", GOLD_SCHEMAS[table], "event_date", start, end)
 
 
-def write_by_day(table: DataFrame, path: str, *order: str) -> None:
-    """Replace a table, partitioned by `event_date`.
+def _gather_days(table: DataFrame, *order: str) -> DataFrame:
+    """Bring the rows of a day together before a write partitioned by `event_date`.
 
-    Without a shuffle every task would write a file for every day. `rebalance` gathers each day in
-    few tasks, and, unlike a plain repartition, splits a day that is too large for one. The sort
-    within a task is the one that a partitioned write needs anyway; `order` refines it.
+    Otherwise every task would write a file for every day. `rebalance` merges small days and, unlike
+    a plain repartition, splits a day that is too large for one task. The sort within a task is the
+    one that a partitioned write needs anyway; `order` refines it.
     """
+    return table.hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", *order)
+
+
+def _replace(table: DataFrame, path: str) -> None:
     (
-        table.hint("rebalance", F.col("event_date"))
-        .sortWithinPartitions("event_date", *order)
-        .write.mode("overwrite")
+        table.write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("event_date")
         .parquet(path)
@@ -70,12 +78,14 @@ def write_by_day(table: DataFrame, path: str, *order: str) -> None:
 
 
 def write_silver(silver: DataFrame, path: str) -> None:
-    """Ordered by type within a day, so that Gold can skip row groups without captures."""
-    write_by_day(silver, path, "event_type")
+    """Replace Silver. Ordered by type within a day, so that Gold can skip row groups without captures."""
+    _replace(_gather_days(silver, "event_type"), path)
 
 
 def write_gold(table: DataFrame, gold_path: str, name: str) -> None:
-    write_by_day(table, f"{gold_path}/{name}")
+    """Replace one Gold table. With one row per day there is nothing to gather."""
+    one_row_per_day = GOLD_GRAINS[name] == ["event_date"]
+    _replace(table if one_row_per_day else _gather_days(table), f"{gold_path}/{name}")
 
 
 def write_batch(rows: DataFrame, path: str, run_id: str, batch_id: int, *partitions: str) -> None:
