@@ -82,10 +82,21 @@ def write_silver(silver: DataFrame, path: str) -> None:
     _replace(_gather_days(silver, "event_type"), path)
 
 
+def _spread_days(table: DataFrame) -> DataFrame:
+    """Give every core its share of the days of a table that has few rows per day.
+
+    Such a write spends its time on opening files, one per day, so it must be spread by days and not
+    by bytes: by its size, years of days would be merged into one task. The hash keeps Spark from
+    taking this shuffle for the one before it, which it may merge.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, F.xxhash64("event_date"))
+
+
 def write_gold(table: DataFrame, gold_path: str, name: str) -> None:
-    """Replace one Gold table. With one row per day there is nothing to gather."""
-    one_row_per_day = GOLD_GRAINS[name] == ["event_date"]
-    _replace(table if one_row_per_day else _gather_days(table), f"{gold_path}/{name}")
+    """Replace one Gold table. A day has one row or one per city, but may have very many sellers."""
+    arrange = _gather_days if "seller_id" in GOLD_GRAINS[name] else _spread_days
+    _replace(arrange(table), f"{gold_path}/{name}")
 
 
 def write_batch(rows: DataFrame, path: str, run_id: str, batch_id: int, *partitions: str) -> None:
