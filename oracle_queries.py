@@ -226,12 +226,15 @@ def _gold_checks() -> str:
                 "warning",
             ),
         ]
-    for check, steps in [("silver_rows_with_fraction_of_cent", 100), ("silver_rows_below_exact_unit", 10000)]:
+    for check, steps in [
+        ("captured_rows_with_fraction_of_cent", 100),
+        ("captured_rows_below_exact_unit", 10000),
+    ]:
         finer = " OR ".join(
             f"abs({name} * {steps} - round({name} * {steps})) > 0.0001"
             for name in ["order_amount", "platform_fee", "seller_payout"]
         )
-        checks.append(_check(check, f"(SELECT count(*) FROM silver WHERE {finer})", "warning"))
+        checks.append(_check(check, f"(SELECT count(*) FROM captured WHERE {finer})", "warning"))
     return f"""seller_metrics AS ({_SELLER_METRICS}),
 city_metrics AS ({_CITY_METRICS}),
 platform_metrics AS ({_PLATFORM_METRICS})

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tallybrook.contract import BRONZE_SCHEMA, GOLD_GRAINS, GOLD_SCHEMAS, MONEY_FIELDS
 from tallybrook.functions import money
+from tallybrook.operators import gold
 
 ERROR, WARNING = "error", "warning"
 
@@ -132,19 +133,19 @@ def _reconciliation(name: str, table: DataFrame, platform: DataFrame) -> DataFra
 
 
 def fraction_report(silver: DataFrame) -> DataFrame:
-    """Silver rows whose amounts are finer than a cent, and finer than Gold's exact sums keep."""
+    """Captured rows whose amounts are finer than a cent, and finer than Gold's exact sums keep."""
 
     def finer_than(steps: int) -> Column:
         return F.greatest(*[money.has_finer_fraction(F.col(name), steps) for name in MONEY_FIELDS])
 
-    counts = silver.agg(
+    counts = gold.captured(silver).agg(
         F.count_if(finer_than(100)).alias("below_cent"),
         F.count_if(finer_than(money.UNITS_PER_AMOUNT)).alias("below_unit"),
     )
     return _report(
         counts,
-        _zero("silver_rows_with_fraction_of_cent", "below_cent", WARNING),
-        _zero("silver_rows_below_exact_unit", "below_unit", WARNING),
+        _zero("captured_rows_with_fraction_of_cent", "below_cent", WARNING),
+        _zero("captured_rows_below_exact_unit", "below_unit", WARNING),
     )
 
 

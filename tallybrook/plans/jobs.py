@@ -21,6 +21,7 @@ from tallybrook.plans import session
 from tallybrook.sources import kafka, tables
 from tallybrook.streaming import ingest
 
+# Default locations.
 BRONZE_PATH = "data/bronze"
 SILVER_PATH = "data/silver"
 GOLD_PATH = "data/gold"

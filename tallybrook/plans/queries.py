@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybrook.contract import EVENT_FIELDS
-from tallybrook.operators import bronze, checks, generate, gold, reports, silver
 from tallybrook.functions import rules
+from tallybrook.operators import bronze, checks, generate, gold, reports, silver
 from tallybrook.plans import jobs, session
 from tallybrook.sources import files, kafka, lanes, tables, workspace
 from tallybrook.streaming import ingest
@@ -123,21 +123,24 @@ def bronze_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.bronze_report(spark, _written_bronze(spark, sf_dir))
 
 
-def _batch_run(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    bronze_path = _written_bronze(spark, sf_dir)
+def _paths_beside(bronze_path: str) -> tuple[str, str]:
     root = bronze_path.removesuffix("/bronze")
-    silver_path, gold_path = f"{root}/silver", f"{root}/gold"
-    jobs.run_batch(spark, bronze_path, silver_path, gold_path)
-    return silver_path, gold_path
+    return f"{root}/silver", f"{root}/gold"
 
 
 def gold_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    silver_path, gold_path = _batch_run(spark, sf_dir)
+    bronze_path = _written_bronze(spark, sf_dir)
+    silver_path, gold_path = _paths_beside(bronze_path)
+    jobs.run_silver(spark, bronze_path, silver_path)
+    jobs.run_gold(spark, silver_path, gold_path)
     return checks.gold_report(spark, gold_path, tables.read_silver(spark, silver_path))
 
 
 def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read_gold(spark, _batch_run(spark, sf_dir)[1], "platform_metrics")
+    bronze_path = _written_bronze(spark, sf_dir)
+    silver_path, gold_path = _paths_beside(bronze_path)
+    jobs.run_batch(spark, bronze_path, silver_path, gold_path)
+    return tables.read_gold(spark, gold_path, "platform_metrics")
 
 
 def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:

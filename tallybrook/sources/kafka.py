@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallybrook.contract import EVENT_FIELDS
 
+# Fixed value: the topic that producers and consumers share by default.
 DEFAULT_TOPIC = "marketplace-payments"
 
 

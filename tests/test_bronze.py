@@ -60,18 +60,21 @@ def tagged(spark):
     return bronze.from_records(rows).cache()
 
 
+@pytest.fixture(scope="module")
+def by_payload(tagged):
+    flags = {row.raw_value: row.is_valid_record for row in tagged.collect()}
+    reasons = {row.raw_value: row.reasons for row in bronze.quarantine_side(tagged).collect()}
+    return flags, reasons
+
+
 @pytest.mark.parametrize("name", CASES)
-def test_flag_and_reasons(spark, name):
+def test_flag_and_reasons(by_payload, name):
     text, flag, reasons = CASES[name]
-    rows = bronze.from_records(records(spark, [text]))
-    assert rows.first().is_valid_record is flag
-    rejected = bronze.quarantine_side(rows).collect()
-    if reasons is None:
-        assert rejected == []
-    else:
-        found = rejected[0].reasons
-        assert found[: len(reasons)] == reasons
-        assert rejected[0].raw_value == text
+    flags, found = by_payload
+    assert flags[text] is flag
+    assert (text in found) == (flag is not True)
+    if reasons is not None:
+        assert found[text][: len(reasons)] == reasons
 
 
 def test_every_record_goes_to_one_side(tagged):

@@ -104,8 +104,8 @@ def test_gold_report(spark, tmp_path):
     jobs.run_batch(spark, *paths(tmp_path))
     report = gold_values(spark, tmp_path)
     assert report["seller_metrics_rows"].value == 3
-    assert report["silver_rows_with_fraction_of_cent"].value == 1
-    assert report["silver_rows_below_exact_unit"].value == 0
+    assert report["captured_rows_with_fraction_of_cent"].value == 1
+    assert report["captured_rows_below_exact_unit"].value == 0
     assert all(row.passed for row in report.values() if row.severity == "error")
 
 
