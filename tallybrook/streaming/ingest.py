@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tallybrook.operators import bronze
 from tallybrook.sources import tables
 
+REJECTED_ROWS_PER_FILE = 1_000_000
+
 
 class BatchWriter:
     """Splits each micro-batch into Bronze and quarantine rows.
@@ -43,8 +45,12 @@ class BatchWriter:
             ).first()
             if size.valid > 0:
                 self.write_valid(bronze.valid_side(batch), batch_id)
-            if size.row_count > size.valid:
-                self.write_rejected(bronze.quarantine_side(batch), batch_id)
+            rejected = size.row_count - size.valid
+            if rejected > 0:
+                # Few rows from many tasks would make as many tiny files.
+                file_count = -(-rejected // REJECTED_ROWS_PER_FILE)
+                rows = bronze.quarantine_side(batch).repartition(file_count)
+                self.write_rejected(rows, batch_id)
         finally:
             batch.unpersist()
 

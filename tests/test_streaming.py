@@ -106,6 +106,17 @@ def test_an_empty_side_writes_nothing(spark, tmp_path, good, bad):
     assert bool(data_files(tmp_path / "bronze_invalid")) == bool(bad)
 
 
+def test_rejected_rows_of_many_tasks_share_files(spark, tmp_path, monkeypatch):
+    wide = records(spark, [payload(event_id=f"b{i}", seller_payout=1.0) for i in range(40)])
+    wide.repartition(8).write.parquet(str(tmp_path / "in"))
+    run(spark, tmp_path / "in", tmp_path / "one", tmp_path / "check1")
+    assert len(data_files(tmp_path / "one_invalid")) == 1
+    monkeypatch.setattr(ingest, "REJECTED_ROWS_PER_FILE", 15)
+    run(spark, tmp_path / "in", tmp_path / "three", tmp_path / "check2")
+    assert len(data_files(tmp_path / "three_invalid")) == 3
+    assert tables.read_quarantine(spark, str(tmp_path / "three")).count() == 40
+
+
 def test_empty_input(spark, tmp_path):
     put(spark, tmp_path / "in", [])
     run(spark, tmp_path / "in", tmp_path / "bronze", tmp_path / "check")
