@@ -34,6 +34,7 @@ def test_dedup_limits_each_id_before_its_only_shuffle(spark):
     plan = plan_of(silver.from_bronze(bronze_table(spark, [event()])))
     assert plan.count("Exchange") == 1
     assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("RLIKE") == 1
     assert plan.index("Exchange") < plan.rindex("WindowGroupLimit")
 
 

@@ -40,6 +40,18 @@ def test_an_invalid_later_copy_does_not_win(spark):
     assert [r.city for r in silver.from_bronze(bronze_table(spark, copies)).collect()] == ["Austin"]
 
 
+def test_an_unreadable_time_never_wins(spark):
+    late = datetime(2027, 1, 1, tzinfo=timezone.utc)
+    copies = [
+        event(city="Austin"),
+        event(event_timestamp="nope", city="Seattle", kafka_ingest_ts=late),
+        event(event_timestamp=None, city="Chicago", kafka_ingest_ts=late),
+        event(event_id="e2", event_timestamp="nope"),
+    ]
+    rows = silver.from_bronze(bronze_table(spark, copies)).collect()
+    assert [(row.event_id, row.city) for row in rows] == [("e1", "Austin")]
+
+
 def test_ties_fall_to_arrival_then_amount_then_names(spark):
     early, late = (datetime(2026, 3, 13, hour, tzinfo=timezone.utc) for hour in (11, 12))
     copies = [
