@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,28 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package once, so that tasks can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="run-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))  # from the driver's disk, through Spark, to each executor's
+    _shipped.add(context.applicationId)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
@@ -66,14 +93,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: i
     """Cut Arrow batches by bytes of text, so that a task's memory does not depend on how long texts
     are; one text alone may exceed the limit, as texts stay whole."""
     for batch in batches:
-        values = batch.column(column)
-        sizes = values.cast(pa.large_binary()).buffers()[1]
-        ends = memoryview(sizes).cast("q") if sizes is not None else []
-        first = values.offset
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
-            stop = start + 1
-            while stop < batch.num_rows and ends[first + stop + 1] - ends[first + start] <= max_bytes:
-                stop += 1
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallybrook.llm import mixing, quality_rules, url_filter
-from tallybrook.llm.common import table
+from tallybrook.llm import language_id, mixing, quality_model, quality_rules, toxicity, url_filter
+from tallybrook.llm.common import fold, table
 
 # The contract's rules.
 URL_RULES = [
@@ -27,14 +28,49 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language_id.fit(docs.where(~held_out))
+    found = language_id.identify(docs, model, ["doc_id", held_out.alias("held_out")])
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.score(docs, model, ["doc_id", held_out.alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def graded(labels: DataFrame) -> DataFrame:
+    """Grades 0 (bad), 1 (good but toxic), 2 (good and not toxic) of the labelled documents."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels outside the fifth fold; selects what is likely good and not toxic."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = quality_model.fit(docs, graded(table(spark, sf_dir, "labels").where(~held_out)))
+    rated = quality_model.rate(docs, model, ["doc_id", held_out.alias("held_out")])
+    p_good, p_best = F.get("tails", F.lit(0)), F.get("tails", F.lit(1))
+    return rated.select("doc_id", "held_out", "expected_grade", p_good.alias("p_good"), p_best.alias("p_best"), (p_good >= 0.5).alias("selected"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_model": op8_quality_model,
 }
 
 ORACLES: dict[str, str] = {
