@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import jaccard_join, language_id, mixing, quality_model, quality_rules, toxicity, url_filter
+from tallybrook.llm import jaccard_join, language_id, lm_score, mixing, quality_model, quality_rules, toxicity, url_filter
 from tallybrook.llm.common import fold, table
 
 # The contract's rules.
@@ -64,6 +64,10 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "held_out", "expected_grade", p_good.alias("p_good"), p_best.alias("p_best"), (p_good >= 0.5).alias("selected"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_quality_model": op8_quality_model,
+    "op9_lm_score": op9_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
