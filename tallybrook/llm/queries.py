@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import jaccard_join, language_id, lm_score, mixing, quality_model, quality_rules, toxicity, url_filter
+from tallybrook.llm import hamming_search, jaccard_join, language_id, lm_score, mixing, pieces, quality_model, quality_rules, toxicity, url_filter
 from tallybrook.llm.common import fold, table
 
 # The contract's rules.
@@ -28,6 +28,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", hamming_search.sign_code(F.col("embedding")).alias("code"))
+    return hamming_search.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -40,6 +45,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), F.col("doc_id"), ["doc_id"])
+    return encoded.select("doc_id", "pieces", F.size("pieces").alias("n_pieces"), "lossless")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -75,8 +85,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op3_hamming_search": op3_hamming_search,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_toxicity": op7_toxicity,
     "op8_quality_model": op8_quality_model,
     "op9_lm_score": op9_lm_score,
@@ -86,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.oracle(URL_RULES),
     "op2_quality_rules": quality_rules.oracle(),
+    "op3_hamming_search": hamming_search.oracle(),
     "op5_mixing": mixing.oracle(),
 }
