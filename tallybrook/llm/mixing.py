@@ -63,41 +63,75 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats:
     )
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """id, source, size, source_size, target, taken (words) and copies of every document."""
+def _keyed(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
+    """`docs` with __id, __source, __size and __key; the sampling key is exp(__key), larger comes first."""
     text = F.coalesce(F.col(text_column), F.lit(""))
-    sized = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), text.alias("text"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"))
-    keyed = staged(
-        sized.select("id", "source", "size", (F.log(uniform(F.col("id"))) / quality_weight(F.col("text"), F.col("size"))).alias("key")), "mix-keys"
+    size = F.regexp_count(text, F.lit(WORD)).cast("bigint")
+    return docs.withColumns({"__id": F.col(id_column), "__source": F.col(source_column), "__size": size}).withColumn(
+        "__key", F.log(uniform(F.col("__id"))) / quality_weight(text, F.col("__size"))
     )
-    # the key of Efraimidis and Spirakis is exp(key), in (0, 1); larger comes first
-    sources = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    bins = F.ceil(F.col("docs") / BIN_DOCS)
-    plan = targets(sources.select("source", "source_size")).join(sources.select(F.col("source").alias("s"), bins.alias("bins")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+
+
+def cutoffs(keyed: DataFrame) -> DataFrame:
+    """One row per source: source_size, target, epochs and the last document of the selection.
+
+    Selected documents are a prefix of the source in the order of keys, as a document's middle only
+    moves up in that order; so its last document stands for it. keyed: __id, __source, __size, __key.
+    """
+    sources = keyed.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"), F.count("*").alias("docs"))
+    sources = staged(sources, "mix-sources")
+    bins = sources.select(F.col("source").alias("s"), F.ceil(F.col("docs") / BIN_DOCS).alias("bins"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = staged(plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-plan")
-
-    spread = salted_left_join(keyed, plan, ["source"])
-    spread = spread.withColumn("bin", F.least(F.floor((1 - F.exp("key")) * F.col("bins")), F.col("bins") - 1))
-    order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = spread.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
-    sums = sums.withColumn("bin_before", F.coalesce(F.sum("bin_size").over(order), F.lit(0)))
-    right = sums.select(F.col("source").alias("s"), F.col("bin").alias("b"), "bin_size", "bin_before")
-    rows = spread.join(right, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))).drop("s", "b")
-    # a document's border is half its size: whole bins lie on either side of it but for those near the budget
-    inside = F.col("bin_before") + F.col("bin_size") <= F.col("rest")
-    outside = F.col("bin_before") > F.col("rest")
-    running = Window.partitionBy("source", "bin").orderBy(F.col("key").desc(), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    border = rows.where(~inside & ~outside).withColumn("before", F.col("bin_before") + F.coalesce(F.sum("size").over(running), F.lit(0)))
-    border = border.withColumn("picked", F.col("before") + F.col("size") / 2 <= F.col("rest")).drop("before")
-    whole = rows.where(inside | outside).withColumn("picked", inside)
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("picked").cast("bigint")).otherwise(0)
-    mixed = whole.unionByName(border).withColumn("copies", copies)
-    return mixed.select(
-        F.col("id").alias(id_column), "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    plan = targets(sources.select("source", "source_size")).withColumn("epochs", epochs)
+    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = staged(plan.join(bins, F.col("source").eqNullSafe(F.col("s"))).drop("s"), "mix-plan")
+
+    per_source = plan.select(F.col("source").alias("__source"), "bins", "rest")
+    spread = salted_left_join(keyed, per_source, ["__source"])
+    spread = spread.withColumn("bin", F.least(F.floor((1 - F.exp("__key")) * F.col("bins")), F.col("bins") - 1))
+    earlier = Window.partitionBy("__source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spread.groupBy("__source", "bin").agg(F.sum("__size").alias("bin_size"), F.max(F.struct(-F.col("__key"), "__id", "__size")).alias("end"), F.first("rest").alias("rest"))
+    sums = staged(sums.withColumn("bin_before", F.coalesce(F.sum("bin_size").over(earlier), F.lit(0))), "mix-bins")
+    whole = sums.where(F.col("bin_before") + F.col("bin_size") <= F.col("rest")).select("__source", "end")
+    border = sums.where((F.col("bin_before") <= F.col("rest")) & (F.col("bin_before") + F.col("bin_size") > F.col("rest")))
+    border = border.select(F.col("__source").alias("s"), F.col("bin").alias("b"), "bin_before")
+    inside = spread.join(border, F.col("__source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    running = Window.partitionBy("__source").orderBy(F.col("__key").desc(), "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.col("bin_before") + F.coalesce(F.sum("__size").over(running), F.lit(0)) + F.col("__size") / 2
+    inside = inside.withColumn("middle", middle).where(F.col("middle") <= F.col("rest"))
+    inside = inside.select("__source", F.struct(-F.col("__key"), "__id", "__size").alias("end"))
+    last = whole.union(inside).groupBy(F.col("__source").alias("s")).agg(F.max("end").alias("last"))
+    found = plan.select("source", "source_size", "target", "epochs").join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return staged(found, "mix-cutoffs")
+
+
+def _copied(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add source_size, target and copies."""
+    plan = plan.withColumnsRenamed({c: f"__{c}" for c in plan.columns})
+    rows = salted_left_join(keyed, plan, ["__source"])
+    picked = F.coalesce(F.struct(-F.col("__key"), "__id", "__size") <= F.col("__last"), F.lit(False))
+    return rows.withColumn("__copies", F.when(F.col("__size") > 0, F.col("__epochs") + picked.cast("bigint")).otherwise(0))
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """id, source, size, source_size, target, taken (words) and copies of every document."""
+    keyed = _keyed(docs.select(id_column, text_column, source_column), id_column, text_column, source_column)
+    keyed = staged(keyed.select("__id", "__source", "__size", "__key"), "mix-keys")
+    rows = _copied(keyed, cutoffs(keyed))
+    return rows.select(
+        F.col("__id").alias(id_column), F.col("__source").alias(source_column), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"), F.col("__copies").alias("copies"),
     )
 
 
+def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it; texts are not shuffled for sampling."""
+    keyed = _keyed(docs, id_column, text_column, source_column)
+    small = staged(keyed.select("__id", "__source", "__size", "__key"), "mix-keys")
+    rows = _copied(keyed, cutoffs(small)).where("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
+
+
 def oracle(documents: str = "documents", select: str = "doc_id, size, source_size, target, taken") -> str:
     weight = "CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END"
     return f"""WITH sized AS (SELECT *, coalesce(text, '') AS t, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,

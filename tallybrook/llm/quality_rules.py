@@ -56,8 +56,8 @@ def repeated_words(all_words: Column) -> Column:
     return windows(all_words)
 
 
-def base_features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """One row per document: id, host, the five counts and `base_failed`."""
+def base_features(docs: DataFrame, keep: list[Column], text_column: str = "text") -> DataFrame:
+    """The columns `keep` of every document with the five counts and `base_failed`."""
     text = F.coalesce(text_column, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = F.struct(
@@ -67,9 +67,9 @@ def base_features(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         let(words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("w"),
     )
     # inline keeps the counts from being computed again in each later expression
-    found = docs.select(F.col(id_column).alias("id"), F.col(host_column).alias("host"), F.inline(F.array(counts)))
+    found = docs.select(F.struct(*keep).alias("kept"), F.inline(F.array(counts)))
     failed = (F.col("w.n_words") < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > MAX_REPEATED_PERCENT * F.col("w.n_words"))
-    return found.select("id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"))
+    return found.select("kept.*", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words", failed.alias("base_failed"))
 
 
 def host_verdicts(features: DataFrame) -> DataFrame:
@@ -88,7 +88,8 @@ def host_verdicts(features: DataFrame) -> DataFrame:
 
 def judge_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """Base features of every document, `base_failed`, and `kept` by base rules and host."""
-    features = staged(base_features(docs, id_column, text_column, host_column), "quality-features")
+    features = base_features(docs, [F.col(id_column).alias("id"), F.col(host_column).alias("host")], text_column)
+    features = staged(features, "quality-features")
     judged = salted_left_join(features, host_verdicts(features).select("host", "rejected"), ["host"])
     return judged.select(
         F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -96,6 +97,20 @@ def judge_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
+def kept_documents(docs: DataFrame, text_column: str = "text", host_column: str = "source") -> DataFrame:
+    """The rows of `docs` that pass the base rules and whose host is not rejected.
+
+    Documents are written once with their base verdict, which costs less than to judge them twice;
+    the hosts' verdicts are written too, so that Spark knows their size and broadcasts them or not.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    flagged = base_features(docs, [whole, F.col(host_column).alias("host")], text_column).select("doc", "host", "base_failed")
+    flagged = staged(flagged, "quality-documents")
+    verdicts = staged(host_verdicts(flagged).select("host", "rejected"), "quality-hosts")
+    judged = salted_left_join(flagged.where("not base_failed"), verdicts, ["host"])
+    return judged.where("not rejected").select("doc.*")
+
+
 def base_sql(documents: str = "documents") -> str:
     """The base features in DuckDB: CTEs that end in `base`."""
     return f"""texts AS (SELECT *, coalesce(text, '') AS t, row_number() OVER () AS rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tallybrook.llm.common import arrow_map, slices
 from tallybrook.llm.textarrays import IS_SPACE, gram_buckets, joined, ranges, segment_sums, span_hashes, word_spans
 
-TRAIN_DOCS = 1500
-TRAIN_CHARS = 20_000
+TRAIN_DOCS = 1200
+TRAIN_CHARS = 10_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED = 8, 8
 WORD_BITS, GRAM_BITS = 14, 16
@@ -229,22 +229,21 @@ class _Trainer:
 def _seeded(net: Network, words: Words, labels: np.ndarray) -> np.ndarray:
     """Start the first dimension of the embeddings at how far a bucket's texts lean to label 1, in
     standard errors beyond two; also the evidence of each distinct word."""
-    doc = np.repeat(np.arange(len(labels)), words.count)
     n1, n0 = (labels == 1).sum(), (labels == 0).sum()
-
-    def lean(bucket: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-        pairs = np.unique(bucket * len(labels) + owner)
-        bucket, owner = np.divmod(pairs, len(labels))
-        one = np.bincount(bucket[labels[owner] == 1], minlength=size)
-        both = np.bincount(bucket, minlength=size)
-        p = (both + 1) / (len(labels) + 2)
-        z = (one / n1 - (both - one) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    firsts = np.cumsum(words.gram_count) - words.gram_count
+    texts = {"words": np.zeros((2, 1 << WORD_BITS)), "grams": np.zeros((2, 1 << GRAM_BITS))}  # by label and bucket
+    for doc, label in enumerate(labels.astype(int)):
+        own = np.unique(words.word[words.first[doc] : words.first[doc + 1]])
+        grams = words.grams[ranges(firsts[own], words.gram_count[own])]
+        for name, buckets in (("words", words.bucket[own]), ("grams", grams)):
+            texts[name][label, np.unique(buckets)] += 1
+
+    def lean(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+        p = (zero + one + 1) / (n0 + n1 + 2)
+        z = (one / n1 - zero / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
         return (np.sign(z) * np.clip(np.abs(z) - 2, 0, 8)).astype(np.float32)
 
-    firsts = np.cumsum(words.gram_count) - words.gram_count
-    count = words.gram_count[words.word]
-    by_word = lean(words.bucket[words.word], doc, 1 << WORD_BITS)
-    by_gram = lean(words.grams[ranges(firsts[words.word], count)], np.repeat(doc, count), 1 << GRAM_BITS)
+    by_word, by_gram = lean(*texts["words"]), lean(*texts["grams"])
     net.words[:, 0], net.grams[:, 0] = by_word / 4, by_gram / 4
     return by_word[words.bucket] + segment_sums(by_gram[words.grams], firsts, words.gram_count) / np.sqrt(np.maximum(words.gram_count, 1))
 
