@@ -56,6 +56,11 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def schema_with(df: DataFrame, added: str) -> str:
+    """The columns of `df` but those that begin with two underscores, and `added`."""
+    return ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes if not n.startswith("__")), added])
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 

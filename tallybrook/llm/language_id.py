@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import arrow_map, slices
+from tallybrook.llm.common import arrow_map, schema_with, slices
 from tallybrook.llm.textarrays import gram_buckets, joined, ranges, segment_sums, word_spans
 
 TRAIN_DOCS = 20_000
@@ -195,5 +195,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
                 names=[*(n for n in batch.schema.names if n != "__text"), "lang_pred", "score", "spans"],
             )
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes if n != "__text")
-    return arrow_map(kept, label, f"{schema}, lang_pred string, score double, spans {SPANS}")
+    return arrow_map(kept, label, schema_with(kept, f"lang_pred string, score double, spans {SPANS}"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import arrow_map, slices
+from tallybrook.llm.common import arrow_map, schema_with, slices
 from tallybrook.llm.textarrays import mixed, ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -309,8 +309,7 @@ def encode(docs: DataFrame, key: Column, keep: list[str | Column], vocabulary: V
             lossless = pa.array(_lossless(vocabulary, texts, ids, ends))
             yield pa.RecordBatch.from_arrays([*columns, pieces, lossless], names=[*names, "pieces", "lossless"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes if not n.startswith("__"))
-    return arrow_map(kept, run, f"{schema}, pieces array<int>, lossless boolean")
+    return arrow_map(kept, run, schema_with(kept, "pieces array<int>, lossless boolean"))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:

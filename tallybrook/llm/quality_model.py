@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import arrow_map, slices
-from tallybrook.llm.textarrays import gram_buckets, joined, segment_sums, span_hashes, word_spans
+from tallybrook.llm.common import arrow_map, schema_with, slices
+from tallybrook.llm.textarrays import gram_buckets, joined, ranges, segment_sums, span_hashes, word_spans
 
 TRAIN_DOCS = 4000
 TRAIN_CHARS = 20_000
@@ -48,8 +48,9 @@ class Features:
         hashes = span_hashes(buffer, begin, end)
         self.words = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
         self.word_count = np.diff(self.word_first)
-        self.grams = gram_buckets(buffer, 4, BITS) if len(buffer) > 3 else np.zeros(0, np.int64)
-        self.gram_first, self.gram_count = starts - 1, np.clip(np.minimum(ends - 1, len(buffer) - 3) - starts + 1, 0, None)
+        self.gram_count = np.maximum(ends - starts - 1, 0)  # from the space before to the one behind
+        self.gram_first = np.cumsum(self.gram_count) - self.gram_count
+        self.grams = gram_buckets(buffer, 4, BITS)[ranges(starts - 1, self.gram_count)]
         doc = np.repeat(np.arange(len(texts)), self.word_count)
         size, n = np.maximum(ends - starts, 1), np.maximum(self.word_count, 1)
         upper, marks = np.cumsum(np.append(0, (buffer >= 65) & (buffer <= 90))), np.cumsum(np.append(0, _symbol(buffer)))
@@ -162,5 +163,4 @@ def rate(docs: DataFrame, model: OrdinalModel, keep: list[str | Column]) -> Data
                 names=[*(n for n in batch.schema.names if n != "__text"), "expected_grade", "tails"],
             )
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes if n != "__text")
-    return arrow_map(kept, run, f"{schema}, expected_grade double, tails array<double>")
+    return arrow_map(kept, run, schema_with(kept, "expected_grade double, tails array<double>"))

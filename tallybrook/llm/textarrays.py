@@ -81,7 +81,7 @@ def ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def segment_sums(values: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums of consecutive segments, the empty ones included."""
+    """Sums of segments that follow each other without gaps, the empty ones included."""
     out = np.zeros((len(counts), *values.shape[1:]), values.dtype)
     some = counts > 0
     if some.any():

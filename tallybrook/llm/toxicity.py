@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import arrow_map, slices
+from tallybrook.llm.common import arrow_map, schema_with, slices
 from tallybrook.llm.textarrays import IS_SPACE, gram_buckets, joined, ranges, segment_sums, span_hashes, word_spans
 
 TRAIN_DOCS = 1200
@@ -306,8 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_col
     return train(rows["text"].tolist(), rows["label"].to_numpy(), rate), rate
 
 
-def score(docs: DataFrame, model: tuple[Network | None, float], keep: list[str | Column]) -> DataFrame:
-    """The columns `keep` of `docs` with `score`; `docs` needs `text`."""
+def score(docs: DataFrame, model: tuple[Network | None, float], keep: list[str | Column], name: str = "score") -> DataFrame:
+    """The columns `keep` of `docs` with the score as `name`; `docs` needs `text`."""
     net, rate = model
     shared = docs.sparkSession.sparkContext.broadcast(net)  # 2.5 MB
     kept = docs.select(*keep, F.col("text").alias("__text"))
@@ -318,7 +318,6 @@ def score(docs: DataFrame, model: tuple[Network | None, float], keep: list[str |
             texts = batch.column("__text").to_pylist()
             values = net.scores(Words(texts)) if net else np.full(len(texts), min(rate, 0.49))
             columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(values)], names=[*(n for n in batch.schema.names if n != "__text"), "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(values)], names=[*(n for n in batch.schema.names if n != "__text"), name])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes if n != "__text")
-    return arrow_map(kept, run, f"{schema}, score double")
+    return arrow_map(kept, run, schema_with(kept, f"`{name}` double"))

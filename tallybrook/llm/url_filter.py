@@ -2,8 +2,9 @@
 
 Method, per host and level of the path: a segment stays literal if it has enough support below its
 parent, else it becomes a wildcard of its shape. Sibling branches whose labelled rates do not differ
-significantly from their pooled rate are merged. A template is rejected if its smoothed rate of bad
-labels exceeds one half. The urls that a rule decides are the labelled examples; the templates carry
+significantly from their pooled rate are merged. A template is rejected if its rate of bad labels,
+smoothed by its path's rate on all hosts and that by the overall rate, exceeds one half, and its path
+has a label on any host. The urls that a rule decides are the labelled examples; the templates carry
 their verdicts over to the urls that no rule decides.
 
 Cases: a null url, or one without `://`, has an empty host and path and is judged as such; a null or
@@ -87,10 +88,10 @@ def _merged(templates: DataFrame, level: int) -> DataFrame:
     general = F.transform("merged", lambda x, i: F.when(i == level, F.lit("*")).otherwise(x))
     branch = templates.withColumn("general", F.when(literal, F.concat_ws("/", general)))
     own = branch.where("general is not null").groupBy("host", "general", "merged").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    pooled = own.groupBy("host", "general").agg(F.sum("n").alias("pool_n"), F.sum("bad").alias("pool_bad"))
+    pooled = own.groupBy("host", "general").agg(F.sum("n").alias("pool_n"), F.sum("bad").alias("pool_bad"), F.count("*").alias("branches"))
     n, bad, pool_n, pool_bad = (F.col(c).cast("double") for c in ("n", "bad", "pool_n", "pool_bad"))
     alike = (bad * pool_n - n * pool_bad) * (bad * pool_n - n * pool_bad) <= F.lit(CRITICAL) * n * pool_bad * (pool_n - pool_bad)
-    similar = own.join(pooled, ["host", "general"]).where(alike).select("host", "merged", F.lit(True).alias("similar"))
+    similar = own.join(pooled, ["host", "general"]).where(alike & (F.col("branches") > 1)).select("host", "merged", F.lit(True).alias("similar"))
     return (
         branch.drop("general")
         .join(similar, ["host", "merged"], "left")
@@ -115,7 +116,7 @@ def judged_templates(urls: DataFrame) -> DataFrame:
     rate = (F.col("bad") + SMOOTHING * path_rate) / (F.col("n") + SMOOTHING)
     verdicts = (
         own.join(paths, "merged").join(F.broadcast(everywhere), F.lit(True))  # one row
-        .select("host", "merged", F.when(rate > 0.5, "block").otherwise("allow").alias("by_template"))
+        .select("host", "merged", F.when((F.col("path_n") > 0) & (rate > 0.5), "block").otherwise("allow").alias("by_template"))
     )
     return templates.select("host", "template", "merged").join(verdicts, ["host", "merged"])
 
@@ -173,15 +174,15 @@ def oracle(rules: list[tuple[str, str]]) -> str:
     branch{k} AS (SELECT *, CASE WHEN NOT contains({node}, '{{') AND {node} NOT IN ('{REST}', '*') THEN
         list_transform(merged, lambda x, i: CASE WHEN i = {k + 1} THEN '*' ELSE x END) END AS general FROM merged{k + 1}),
     own{k} AS (SELECT host, general, merged, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM branch{k} WHERE general IS NOT NULL GROUP BY ALL),
-    pool{k} AS (SELECT *, sum(n) OVER (PARTITION BY host, general) AS pool_n, sum(bad) OVER (PARTITION BY host, general) AS pool_bad FROM own{k}),
-    similar{k} AS (SELECT host, merged FROM pool{k} WHERE (bad * pool_n - n * pool_bad) * (bad * pool_n - n * pool_bad) <= {CRITICAL} * n * pool_bad * (pool_n - pool_bad)),
+    pool{k} AS (SELECT *, sum(n) OVER (PARTITION BY host, general) AS pool_n, sum(bad) OVER (PARTITION BY host, general) AS pool_bad, count(*) OVER (PARTITION BY host, general) AS branches FROM own{k}),
+    similar{k} AS (SELECT host, merged FROM pool{k} WHERE branches > 1 AND (bad * pool_n - n * pool_bad) * (bad * pool_n - n * pool_bad) <= {CRITICAL} * n * pool_bad * (pool_n - pool_bad)),
     merged{k} AS (SELECT b.host, b.template, CASE WHEN s.merged IS NOT NULL THEN b.general ELSE b.merged END AS merged, b.n, b.bad
         FROM branch{k} b LEFT JOIN similar{k} s ON b.host = s.host AND b.merged = s.merged)"""
     return sql + f""",
     base AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad)::DOUBLE / sum(n)::DOUBLE ELSE 0.0::DOUBLE END AS base FROM merged0),
     paths AS (SELECT merged, sum(n)::DOUBLE AS path_n, sum(bad)::DOUBLE AS path_bad FROM merged0 GROUP BY ALL),
     hosts AS (SELECT host, merged, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM merged0 GROUP BY ALL),
-    verdicts AS (SELECT host, merged, CASE WHEN (bad + {SMOOTHING} * ((path_bad + {SMOOTHING} * base) / (path_n + {SMOOTHING}))) / (n + {SMOOTHING}) > 0.5
+    verdicts AS (SELECT host, merged, CASE WHEN path_n > 0 AND (bad + {SMOOTHING} * ((path_bad + {SMOOTHING} * base) / (path_n + {SMOOTHING}))) / (n + {SMOOTHING}) > 0.5
         THEN 'block' ELSE 'allow' END AS by_template FROM hosts JOIN paths USING (merged), base)
     SELECT t.page_id, t.host, t.path, t.rule, coalesce(t.ruled, v.by_template) AS verdict, '/' || array_to_string(m.merged, '/') AS template
     FROM tree t JOIN merged0 m ON t.host = m.host AND t.template = m.template JOIN verdicts v ON m.host = v.host AND m.merged = v.merged"""

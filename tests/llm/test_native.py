@@ -1,0 +1,163 @@
+"""URL filters, quality rules, mixing and Hamming search against SQL and plain Python."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallybrook.llm import hamming_search, mixing, quality_rules, url_filter
+from tallybrook.llm.queries import ORACLES, QUERIES, URL_RULES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows_of(df, *columns):
+    return sorted((tuple(r[c] for c in columns or df.columns) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sf_dir, database, name):
+    result = QUERIES[name](spark, sf_dir)
+    expected = database.execute(ORACLES[name])
+    columns = [c[0] for c in expected.description]
+    assert sorted(columns) == sorted(result.columns)
+    assert rows_of(result, *columns) == sorted(expected.fetchall(), key=repr)
+
+
+def test_urls_by_hand(spark):
+    urls = [None, "no scheme", "HTTP://A.Example.ORG/es/1?x#y", "x://org", "x://example.org/en/12", "x://b.com/de/", "x://bcom/de/", "a://b://c/d", "x://h?q/p", "x://h.com/fr#/de/"]
+    pages = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)], "page_id bigint, url string, host string, rule string")
+    found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, URL_RULES).collect()}
+    assert found[0] == found[1] == ("", "", None, "allow")
+    assert found[2] == ("a.example.org", "/es/1", "example.org/es/", "block")
+    assert found[3][:3] == ("org", "", None)  # a rule's path is `/` at least
+    assert found[4][2:] == ("example.org/en/1", "block")
+    assert found[5][2:] == ("com/de/", "block")
+    assert found[6][2] is None
+    assert found[7][:2] == ("b:", "//c/d")
+    assert found[8][:2] == ("h", "")
+    assert found[9][:3] == ("h.com", "/fr", None)
+
+
+def test_templates_generalise_merge_and_reject(spark, database):
+    pages = [(k, f"x://s.example.org/es/{k}") for k in range(60)]  # blocked by rule
+    pages += [(100 + k, f"x://s.net/es/{k}") for k in range(60)]  # judged by the path's pooled rate
+    pages += [(200 + k, f"x://m.com/{lang}/{k}/a{k}.html") for lang in ("fr", "en") for k in range(40)]
+    table = spark.createDataFrame([*pages, *pages[:3]], "page_id bigint, url string")
+    found = url_filter.judge_urls(table, URL_RULES)
+    assert found.count() == len(pages) + 3
+    by_host = {(r["host"], r["template"], r["verdict"]) for r in found.collect()}
+    assert ("s.example.org", "/es/{n}", "block") in by_host and ("s.net", "/es/{n}", "block") in by_host
+    assert {t for h, t, _ in by_host if h == "m.com"} == {"/*/{n}/a{n}.html"}
+    local = database.cursor()
+    local.execute("CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM (VALUES " + ", ".join(f"({k}, '{u}')" for k, u in [*pages, *pages[:3]]) + ") AS t(page_id, url)")
+    expected = local.execute(url_filter.oracle(URL_RULES))
+    assert rows_of(found, *[c[0] for c in expected.description]) == sorted(expected.fetchall(), key=repr)
+
+
+def test_empty_urls(spark):
+    assert url_filter.judge_urls(spark.createDataFrame([], "page_id bigint, url string"), URL_RULES).count() == 0
+
+
+def base(text):
+    text = text or ""
+    words = WORD.findall(text)
+    grams = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {i + k for i, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if grams[g] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_features_of_odd_texts(spark, odd_docs, no_docs):
+    found = quality_rules.judge_documents(odd_docs)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    expected = sorted(((r["doc_id"], *base(r["text"])) for r in odd_docs.collect()), key=repr)
+    assert rows_of(found, "doc_id", *names) == expected
+    assert quality_rules.judge_documents(no_docs).count() == 0
+    assert quality_rules.kept_documents(no_docs).columns == no_docs.columns
+
+
+def test_hosts_that_fail_are_rejected_with_their_clean_documents(spark):
+    good, bad = " ".join(f"w{k}" for k in range(60)), "too short"
+    rows = [(k, bad if k % 10 else good, "bad") for k in range(400)] + [(k, good if k % 10 else bad, f"h{k % 7}") for k in range(400, 1200)]
+    rows += [(k, good, None) for k in range(1200, 1210)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = quality_rules.judge_documents(docs)
+    assert kept.where("not base_failed and kept and doc_id < 400").count() == 0
+    assert kept.where("kept").count() == sum(k >= 400 and t == good for k, t, _ in rows)
+    assert rows_of(quality_rules.kept_documents(docs), "doc_id") == rows_of(kept.where("kept"), "doc_id")
+
+
+def plain_mix(rows):
+    """rows: (id, size, source, key). The contract and the method, one source at a time."""
+    size_of, by_source = defaultdict(int), defaultdict(list)
+    for row in rows:
+        size_of[row[2]] += row[1]
+        by_source[row[2]].append(row)
+    sources = sorted(size_of, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: k % 3 + 1 for k, s in enumerate(sources)}
+    target, left, open_ = {}, sum(size_of.values()), set(sources)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 3 * size_of[s] < level * weight[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        target |= {s: 3.0 * size_of[s] for s in full}
+        left -= sum(3 * size_of[s] for s in full)
+        open_ -= full
+    taken = []
+    for s, own in by_source.items():
+        epochs = int(target[s] // size_of[s]) if size_of[s] else 0
+        rest, before = target[s] - epochs * size_of[s], 0
+        for key, size, source, _ in sorted(own, key=lambda r: (-r[3], r[0] is not None, r[0], r[1])):
+            taken.append((key, size, source, size * (epochs + (before + size / 2 <= rest)) if size else 0))
+            before += size
+    return target, taken
+
+
+@pytest.mark.parametrize("bin_docs", [2, 4000])
+def test_mix_equals_a_plain_version(spark, sf_dir, odd_docs, monkeypatch, bin_docs):
+    monkeypatch.setattr(mixing, "BIN_DOCS", bin_docs)
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for docs in (some, some.withColumn("source", F.when(F.col("doc_id") < 120, "hot").when(F.col("doc_id") < 190, "b")), odd_docs):
+        keyed = mixing._keyed(docs, "doc_id", "text", "source").collect()
+        target, taken = plain_mix([(r["doc_id"], r["__size"], r["source"], r["__key"]) for r in keyed])
+        mixed = mixing.mix(docs)
+        assert rows_of(mixed, "doc_id", "size", "source", "taken") == sorted(taken, key=repr)
+        for r in mixed.collect():
+            assert r["target"] == pytest.approx(target[r["source"]])
+            assert r["taken"] <= 3 * r["size"]
+        copies = mixed.groupBy().agg(F.sum("copies")).first()[0]
+        assert mixing.mixed_documents(docs).count() == copies
+
+
+def test_mix_of_nothing(no_docs, spark):
+    assert mixing.mix(no_docs).count() == 0
+    assert mixing.mixed_documents(no_docs).columns == no_docs.columns
+    wordless = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id bigint, text string, source string")
+    assert rows_of(mixing.mix(wordless), "doc_id", "target", "taken") == [(1, 0.0, 0), (2, 0.0, 0)]
+
+
+def test_hamming_search_with_ties_copies_and_nulls(spark):
+    codes = [0, 0, 0, 1, 3, -1, -1, 7, 1 << 62, None, 5, 9, 17] + [(k * 0x9E3779B97F4A7C15) % (1 << 63) for k in range(60)]
+    rows = [(k, c, "x") for k, c in enumerate(codes)] + [(None, 0, "x"), (4, 3, "x")]
+    found = hamming_search.search(spark.createDataFrame(rows, "vec_id bigint, code bigint, query string"), F.col("vec_id") % 2 == 0, k=4)
+    known = {k: c for k, c in enumerate(codes) if c is not None}
+    expected = []
+    for q in known:
+        if q % 2 == 0:
+            near = sorted((bin((known[q] ^ c) & (2**64 - 1)).count("1"), k) for k, c in known.items() if k != q)[:4]
+            expected += [(q, rank + 1, k, d) for rank, (d, k) in enumerate(near)]
+    assert rows_of(found) == sorted(expected, key=repr)
+
+
+def test_hamming_search_of_few_rows(spark):
+    two = spark.createDataFrame([(0, 5), (1, 5)], "vec_id bigint, code bigint")
+    assert rows_of(hamming_search.search(two, F.lit(True))) == [(0, 1, 1, 0), (1, 1, 0, 0)]
+    assert hamming_search.search(two.limit(0), F.lit(True)).count() == 0
+    vectors = spark.createDataFrame([(0, [0.5, -1.0, None]), (1, None), (2, [])], "vec_id bigint, v array<float>")
+    assert rows_of(vectors.select(hamming_search.sign_code(F.col("v")).alias("c"))) == [(0,), (1,), (None,)]
