@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tallybrook.llm.common import arrow_map, schema_with, slices
 from tallybrook.llm.textarrays import gram_buckets, joined, ranges, segment_sums, span_hashes, word_spans
 
-TRAIN_DOCS = 4000
-TRAIN_CHARS = 20_000
+TRAIN_DOCS = 2500
+TRAIN_CHARS = 10_000
 BITS = 15
 RATIOS = 6
 SYMBOLS = np.frombuffer(b"#*$%&|<>!", np.uint8)
