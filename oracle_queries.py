@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+# The fields of an event, in the order of the contract.
+_EVENT_FIELDS = [
+    "event_id",
+    "order_id",
+    "customer_id",
+    "seller_id",
+    "city",
+    "order_category",
+    "payment_method",
+    "event_type",
+    "order_amount",
+    "platform_fee",
+    "seller_payout",
+    "currency",
+    "event_timestamp",
+]
+
 _LANE_P = """
 lane AS (
   SELECT
@@ -27,9 +44,12 @@ lane AS (
     CASE WHEN event_id % 41 = 0 THEN 'not-a-timestamp'
       ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' END AS event_timestamp,
     ts AS kafka_ingest_ts
-  FROM events
+  FROM {events}
 )"""
 
+_LATER_COPIES = """(SELECT event_id, ts, user_id, event_type, value, props FROM events UNION ALL
+    SELECT event_id, ts + INTERVAL 1 DAY, user_id, event_type, value + 1, props FROM events WHERE event_id % 7 = 0)"""
+
 _LANE_L = """
 lane AS (
   SELECT
@@ -44,10 +64,10 @@ lane AS (
     CASE (l_orderkey + l_linenumber) % 5 WHEN 0 THEN 'payment_authorized'
       WHEN 1 THEN 'payment_captured' WHEN 2 THEN 'refund_issued' WHEN 3 THEN 'payout_sent'
       ELSE 'payment_failed' END AS event_type,
-    l_extendedprice AS order_amount,
-    floor(l_extendedprice * 12 + 0.5) / 100.0::DOUBLE AS platform_fee,
-    floor((l_extendedprice - floor(l_extendedprice * 12 + 0.5) / 100.0::DOUBLE) * 100 + 0.5)
-      / 100.0::DOUBLE AS seller_payout,
+    {amount} AS order_amount,
+    floor({amount} * {fee_steps} + 0.5) / {steps} AS platform_fee,
+    floor(({amount} - floor({amount} * {fee_steps} + 0.5) / {steps}) * {steps} + 0.5)
+      / {steps} AS seller_payout,
     'USD' AS currency,
     strftime(l_shipdate, '%Y-%m-%d') || 'T00:00:00.000000+00:00' AS event_timestamp,
     o_orderdate AS kafka_ingest_ts
@@ -102,17 +122,19 @@ _REASONS = """concat_ws(',',
     CASE WHEN event_ts IS NULL THEN 'bad_event_timestamp' END) AS reasons"""
 
 
-def _units(amount: str) -> str:
-    return f"CAST(sum(CAST(floor({amount} * 10000 + 0.5) AS BIGINT)) AS BIGINT)"
+def _exact_sum(amount: str) -> str:
+    return f"sum(CAST(CAST({amount} AS VARCHAR) AS DECIMAL(28,10)))"
 
 
 def _sum(amount: str, name: str) -> str:
-    return f"CAST(({_units(amount)} + 50) // 100 AS DOUBLE) / 100.0::DOUBLE AS {name}"
+    return f"CAST(round({_exact_sum(amount)}, 2) AS DOUBLE) AS {name}"
 
 
 def _average(amount: str, name: str) -> str:
+    """Half-up in whole numbers: twice the sum and the rows, in units of the last decimal place."""
+    units = f"CAST(replace(CAST({_exact_sum(amount)} AS VARCHAR), '.', '') AS HUGEINT)"
     return (
-        f"CAST((2 * {_units(amount)} + 100 * count(*)) // (200 * count(*)) AS DOUBLE)"
+        f"CAST((2 * {units} + 100000000::HUGEINT * count(*)) // (200000000::HUGEINT * count(*)) AS DOUBLE)"
         f" / 100.0::DOUBLE AS {name}"
     )
 
@@ -150,21 +172,7 @@ FROM silver WHERE event_type IN ('payment_captured', 'payout_sent') GROUP BY eve
 _CONTRACT_RULES = {
     **{
         f"{name}_null": f"{name} IS NULL"
-        for name in [
-            "event_id",
-            "order_id",
-            "customer_id",
-            "seller_id",
-            "city",
-            "order_category",
-            "payment_method",
-            "event_type",
-            "order_amount",
-            "platform_fee",
-            "seller_payout",
-            "currency",
-            "event_timestamp",
-        ]
+        for name in _EVENT_FIELDS
     },
     "event_type_not_allowed": "event_type NOT IN ('payment_authorized', 'payment_captured',"
     " 'refund_issued', 'payout_sent', 'payment_failed')",
@@ -186,13 +194,23 @@ def _check(name: str, value: str, severity: str, passed: str = "= 0") -> str:
     )
 
 
-def _gold_checks() -> str:
+def _gold_checks(damaged: bool = False) -> str:
+    """The report; with `damaged`, on the last day's sellers twice, dearer by one, and no city table."""
     checks = []
+    if damaged:
+        checks.append(_check("city_metrics_readable (PATH_NOT_FOUND)", "0", "error", "= 1"))
+        checks.append(_check("city_metrics_wrong_columns", "7", "error"))
+    sellers = f"({_SELLER_METRICS})"
+    if damaged:
+        sellers = f"""(SELECT * FROM written UNION ALL SELECT * REPLACE (gross_sales + 1 AS gross_sales) FROM written
+          WHERE event_date = (SELECT max(event_date) FROM written))"""
     for table, grain, null_key in [
         ("seller_metrics", "event_date, seller_id", "event_date IS NULL OR seller_id IS NULL"),
         ("city_metrics", "event_date, city", "event_date IS NULL OR city IS NULL"),
         ("platform_metrics", "event_date", "event_date IS NULL"),
     ]:
+        if damaged and table == "city_metrics":
+            continue
         copies = f"(SELECT {grain}, count(*) AS copies FROM {table} GROUP BY {grain} HAVING copies > 1)"
         checks += [
             _check(f"{table}_readable", "1", "error", "= 1"),
@@ -201,7 +219,7 @@ def _gold_checks() -> str:
             _check(f"{table}_repeated_keys", f"(SELECT count(*) FROM {copies})", "error"),
             _check(f"{table}_null_keys", f"(SELECT count(*) FROM {table} WHERE {null_key})", "warning"),
         ]
-    for table in ["seller_metrics", "city_metrics"]:
+    for table in ["seller_metrics"] if damaged else ["seller_metrics", "city_metrics"]:
         days = f"""(SELECT t.n IS DISTINCT FROM p.transaction_count AS other_count,
           greatest(abs(t.gross - p.gross_sales), abs(t.fees - p.platform_fee_revenue)) AS gap,
           (t.parts + 1) * 0.005 AS rounding
@@ -226,44 +244,52 @@ def _gold_checks() -> str:
                 "warning",
             ),
         ]
-    for check, steps in [
-        ("captured_rows_with_fraction_of_cent", 100),
-        ("captured_rows_below_exact_unit", 10000),
+    for check, condition in [
+        ("captured_rows_with_fraction_of_cent", "abs({0} * 100 - round({0} * 100)) > 0.0001"),
+        ("captured_rows_beyond_exact_sums", "{0} >= 1e18"),
     ]:
-        finer = " OR ".join(
-            f"abs({name} * {steps} - round({name} * {steps})) > 0.0001"
-            for name in ["order_amount", "platform_fee", "seller_payout"]
-        )
-        checks.append(_check(check, f"(SELECT count(*) FROM captured WHERE {finer})", "warning"))
-    return f"""seller_metrics AS ({_SELLER_METRICS}),
+        odd = " OR ".join(condition.format(name) for name in ["order_amount", "platform_fee", "seller_payout"])
+        checks.append(_check(check, f"(SELECT count(*) FROM captured WHERE {odd})", "warning"))
+    return f"""written AS ({_SELLER_METRICS}),
+seller_metrics AS {sellers},
 city_metrics AS ({_CITY_METRICS}),
 platform_metrics AS ({_PLATFORM_METRICS})
 {" UNION ALL ".join(checks)}"""
 
 
-_BRONZE_P = f"WITH {_LANE_P}, {_BRONZE}"
+def _lane_p(events: str = "events") -> str:
+    return _LANE_P.replace("{events}", events)
+
+
+def _lane_l(amount: str, fee_steps: str, steps: str) -> str:
+    parts = {"{amount}": amount, "{fee_steps}": f"{fee_steps}::DOUBLE", "{steps}": f"{steps}::DOUBLE"}
+    lane = _LANE_L
+    for name, value in parts.items():
+        lane = lane.replace(name, value)
+    return f"WITH {lane}, {_BRONZE}, {_SILVER}"
+
+
+_BRONZE_P = f"WITH {_lane_p()}, {_BRONZE}"
 _SILVER_P = f"{_BRONZE_P}, {_SILVER}"
-_SILVER_L = f"WITH {_LANE_L}, {_BRONZE}, {_SILVER}"
+_SILVER_C = f"WITH {_lane_p(_LATER_COPIES)}, {_BRONZE}, {_SILVER}"
+_SILVER_L = _lane_l("l_extendedprice", "12.0", "100.0")
+_SILVER_F = _lane_l("(l_extendedprice / 10000.0::DOUBLE)", "120000.0", "1000000.0")
+_SILVER_H = _lane_l("(l_extendedprice + 950000000.0::DOUBLE)", "12.0", "100.0")
 
 _BRONZE_VALID = f"{_BRONZE_P} SELECT {_EVENT_COLUMNS} FROM flagged WHERE is_valid_record"
 _QUARANTINE = f"""{_BRONZE_P} SELECT {_EVENT_COLUMNS}, {_REASONS}{{extra}}
 FROM flagged WHERE NOT is_valid_record"""
 
-_JSON_FIELDS = [
-    *[(name, "text") for name in ["event_id", "order_id", "customer_id", "seller_id", "city"]],
-    *[(name, "text") for name in ["order_category", "payment_method", "event_type"]],
-    *[(name, "number") for name in ["order_amount", "platform_fee", "seller_payout"]],
-    *[(name, "text") for name in ["currency", "event_timestamp"]],
-]
+_NUMBERS = ["order_amount", "platform_fee", "seller_payout"]
 
 
 def _payload() -> str:
     """JSON objects leave out null fields."""
     parts = []
-    for name, kind in _JSON_FIELDS:
-        quote = '"' if kind == "text" else ""
+    for name in _EVENT_FIELDS:
+        quote = "" if name in _NUMBERS else '"'
         parts.append(f"""'"{name}":{quote}' || {name} || '{quote}'""")
-    return f"WITH {_LANE_P} SELECT '{{' || concat_ws(',', {', '.join(parts)}) || '}}' AS value FROM lane"
+    return f"WITH {_lane_p()} SELECT '{{' || concat_ws(',', {', '.join(parts)}) || '}}' AS value FROM lane"
 
 
 ORACLES: dict[str, str] = {
@@ -303,6 +329,20 @@ SELECT event_date, city, {_OUTCOMES} FROM silver GROUP BY event_date, city""",
     ),
     "gold_checks": f"{_SILVER_P}, {_gold_checks()}",
     "batch_run": f"{_SILVER_P} {_PLATFORM_METRICS}",
-    "synthetic_profile": """SELECT count(*) AS events, count(*) AS distinct_ids, count(*) AS valid_events,
-  count(*) AS amounts_in_range, count(*) AS fees_in_range FROM events""",
+    "gold_seller_metrics_fine": f"{_SILVER_F} {_SELLER_METRICS}",
+    "gold_platform_metrics_huge": f"{_SILVER_H} {_PLATFORM_METRICS}",
+    **{
+        f"{job}_{name}": f"{_SILVER_C} {query}"
+        for job in ["batch", "refresh"]
+        for name, query in {
+            "silver": f"SELECT {_EVENT_COLUMNS}, event_date FROM silver",
+            "seller_metrics": _SELLER_METRICS,
+            "city_metrics": _CITY_METRICS,
+            "platform_metrics": _PLATFORM_METRICS,
+        }.items()
+    },
+    "bronze_damaged": _check("bronze_readable", "1", "error", "= 1")
+    + " UNION ALL "
+    + _check("bronze_wrong_columns", "1", "error"),
+    "gold_damaged": f"{_SILVER_P}, {_gold_checks(damaged=True)}",
 }

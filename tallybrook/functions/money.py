@@ -1,13 +1,13 @@
 """Money aggregation that does not depend on row order or partitioning.
 
 A sum of doubles depends on the order of its terms, so the last cent of `round(sum(x), 2)` changes
-with the partitioning. Amounts are therefore summed as whole ten-thousandths of a currency unit in a
-bigint and rounded half-up to cents at the end. Ten-thousandths rather than cents, because the
-contract allows fractions of a cent. Where the double sum lands on the other side of a half cent,
-the result differs from it by one cent, on purpose.
+with the partitioning. Amounts are therefore added as decimals with ten fraction digits, which holds
+every amount below 10^18 and their sums below 10^28, and rounded half-up to cents once, at the end.
+Digits below 10^-10 are cut; there, doubles of cents hold nothing but noise. Where the double sum
+lands on the other side of a half cent, the result differs from it by one cent, on purpose.
 
-Amounts from `EXACT_LIMIT` up have no place in the bigint sum. They are summed as doubles beside it,
-so no row is lost and none raises an overflow.
+What the type cannot hold (amounts from 10^18 up, where a double has no cents) is added as doubles
+beside it, so no row is lost; `checks` counts such rows.
 """
 
 from __future__ import annotations
@@ -15,57 +15,60 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNITS_PER_CENT = 100
-UNITS_PER_AMOUNT = 100 * UNITS_PER_CENT
-EXACT_LIMIT = 1e9
+EXACT = "decimal(28,10)"
 
 
-def units(amount: Column) -> Column:
-    """Whole ten-thousandths, half-up. `floor` gives a bigint and, unlike a cast, never raises."""
-    return F.floor(amount * float(UNITS_PER_AMOUNT) + 0.5)
+def exact(amount: Column) -> Column:
+    """The amount as a decimal; NULL if the type cannot hold it."""
+    return amount.try_cast(EXACT)
 
 
-def has_finer_fraction(amount: Column, steps_per_amount: int) -> Column:
-    """True if the amount is not a whole number of 1/steps_per_amount (100 for cents)."""
-    scaled = amount * float(steps_per_amount)
+def is_beyond(amount: Column) -> Column:
+    return amount.isNotNull() & exact(amount).isNull()
+
+
+def has_fraction_of_cent(amount: Column) -> Column:
+    scaled = amount * 100.0
     return F.abs(scaled - F.rint(scaled)) > 1e-4
 
 
 def partial_sums(name: str) -> list[Column]:
     """First-level aggregates of one money column."""
     amount = F.col(name)
-    exact = amount < EXACT_LIMIT
     return [
-        F.sum(F.when(exact, units(amount)).otherwise(F.lit(0))).alias(f"{name}_units"),
-        F.sum(F.when(exact, F.lit(0.0)).otherwise(amount)).alias(f"{name}_beyond"),
+        F.coalesce(F.sum(exact(amount)), F.lit(0)).cast("decimal(38,10)").alias(f"{name}_exact"),
+        F.sum(F.when(is_beyond(amount), amount).otherwise(0.0)).alias(f"{name}_beyond"),
     ]
 
 
 def merged_sums(name: str) -> list[Column]:
     """Aggregates that add up the results of `partial_sums` at a coarser grain."""
     return [
-        F.sum(f"{name}_units").alias(f"{name}_units"),
+        F.sum(f"{name}_exact").alias(f"{name}_exact"),
         F.sum(f"{name}_beyond").alias(f"{name}_beyond"),
     ]
 
 
-def _to_amount(cents: Column) -> Column:
-    return cents.cast("double") / 100.0
-
-
 def rounded_sum(name: str) -> Column:
     """`round(sum(x), 2)` from the sums above."""
-    whole, beyond = F.col(f"{name}_units"), F.col(f"{name}_beyond")
-    cents = F.call_function("div", whole + UNITS_PER_CENT // 2, F.lit(UNITS_PER_CENT))
-    return F.when(beyond == 0, _to_amount(cents)).otherwise(
-        F.round(whole / float(UNITS_PER_AMOUNT) + beyond, 2)
+    total, beyond = F.col(f"{name}_exact"), F.col(f"{name}_beyond")
+    return F.when(beyond == 0, F.round(total, 2).cast("double")).otherwise(
+        F.round(total.cast("double") + beyond, 2)
     )
 
 
 def rounded_average(name: str, rows: Column) -> Column:
-    """`round(avg(x), 2)` from the sums above and the number of rows in them."""
-    whole, beyond = F.col(f"{name}_units"), F.col(f"{name}_beyond")
-    cents = F.call_function("div", 2 * whole + UNITS_PER_CENT * rows, 2 * UNITS_PER_CENT * rows)
-    return F.when(beyond == 0, _to_amount(cents)).otherwise(
-        F.round((whole / float(UNITS_PER_AMOUNT) + beyond) / rows, 2)
+    """`round(avg(x), 2)` from the sums above and the number of rows in them.
+
+    The quotient has ten digits. Where they were rounded up to a half cent, rounding once more would
+    give a cent too much; the product with the number of rows shows it.
+    """
+    total, beyond = F.col(f"{name}_exact"), F.col(f"{name}_beyond")
+    cents = F.round(total / rows.cast("decimal(13,0)"), 2).cast("decimal(28,3)")
+    half, cent = F.lit("0.005").cast("decimal(4,3)"), F.lit("0.010").cast("decimal(4,3)")
+    # cast to the sum's own type: in a comparison of unlike decimals Spark gives up fraction digits
+    least = ((cents - half).cast("decimal(28,3)") * rows.cast("decimal(13,0)")).cast("decimal(38,10)")
+    average = F.when(least > total, cents - cent).otherwise(cents)
+    return F.when(beyond == 0, average.cast("double")).otherwise(
+        F.round((total.cast("double") + beyond) / rows, 2)
     )

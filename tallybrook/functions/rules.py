@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallybrook.contract import ALLOWED_VALUES, EVENT_FIELDS, MONEY_FIELDS
-from tallybrook.functions.money import EXACT_LIMIT, UNITS_PER_CENT, units
+from tallybrook.functions import money
 
 PAYOUT_TOLERANCE = 0.01
 
@@ -34,15 +34,14 @@ def payout_matches(exact: bool = False) -> Column:
     """The payout is the amount less the fee, to within a cent.
 
     The default compares doubles, so a payout off by exactly one cent passes or fails by float noise.
-    With `exact` the comparison is made in whole ten-thousandths and such a payout always fails.
+    With `exact` the comparison is made in decimals and such a payout always fails.
     """
     amount, fee, payout = (F.col(name) for name in MONEY_FIELDS)
     on_doubles = F.abs(payout - (amount - fee)) < PAYOUT_TOLERANCE
     if not exact:
         return on_doubles
-    representable = all_of([F.abs(F.col(name)) < EXACT_LIMIT for name in MONEY_FIELDS])
-    on_units = F.abs(units(payout) - (units(amount) - units(fee))) < UNITS_PER_CENT
-    return F.when(representable, on_units).otherwise(on_doubles)
+    gap = F.abs(money.exact(payout) - (money.exact(amount) - money.exact(fee)))
+    return F.coalesce(gap < F.lit("0.01").cast(money.EXACT), on_doubles)
 
 
 def one_of(name: str) -> Column:

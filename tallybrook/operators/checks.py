@@ -5,6 +5,7 @@ Columns: `check_name`, `value`, `severity` ("error" stops a run, "warning" does
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -47,17 +48,18 @@ def _open(spark: SparkSession, path: str, expected: T.StructType) -> tuple[DataF
     Only file footers are read. An existing folder is not enough: one that holds no data file has no
     schema, and the job after it would fail.
     """
-    name = path.rstrip("/").rsplit("/", 1)[-1]
+    name, problem = path.rstrip("/").rsplit("/", 1)[-1], None
     try:
         table = spark.read.parquet(path)
-    except AnalysisException:
-        table = None
+    except AnalysisException as error:
+        table, problem = None, error.getCondition() or type(error).__name__
     found = {} if table is None else {field.name: field.dataType for field in table.schema}
     wrong = [field.name for field in expected if found.get(field.name) != field.dataType]
     readable = F.lit(0 if table is None else 1)
+    reason = f" ({problem})" if problem else ""
     report = _report(
         spark.range(1),
-        _check(f"{name}_readable", readable, ERROR, readable == 1),
+        _check(f"{name}_readable{reason}", readable, ERROR, readable == 1),
         _check(f"{name}_wrong_columns", F.lit(len(wrong)), ERROR, F.lit(not wrong)),
     )
     return (None if wrong else table), report
@@ -133,19 +135,19 @@ def _reconciliation(name: str, table: DataFrame, platform: DataFrame) -> DataFra
 
 
 def fraction_report(silver: DataFrame) -> DataFrame:
-    """Captured rows whose amounts are finer than a cent, and finer than Gold's exact sums keep."""
+    """Captured rows with amounts finer than a cent, and beyond what Gold's exact sums hold."""
 
-    def finer_than(steps: int) -> Column:
-        return F.greatest(*[money.has_finer_fraction(F.col(name), steps) for name in MONEY_FIELDS])
+    def any_amount(condition: Callable[[Column], Column]) -> Column:
+        return F.greatest(*[condition(F.col(name)) for name in MONEY_FIELDS])
 
     counts = gold.captured(silver).agg(
-        F.count_if(finer_than(100)).alias("below_cent"),
-        F.count_if(finer_than(money.UNITS_PER_AMOUNT)).alias("below_unit"),
+        F.count_if(any_amount(money.has_fraction_of_cent)).alias("below_cent"),
+        F.count_if(any_amount(money.is_beyond)).alias("beyond"),
     )
     return _report(
         counts,
         _zero("captured_rows_with_fraction_of_cent", "below_cent", WARNING),
-        _zero("captured_rows_below_exact_unit", "below_unit", WARNING),
+        _zero("captured_rows_beyond_exact_sums", "beyond", WARNING),
     )
 
 

@@ -101,6 +101,7 @@ class SharedMetrics:
 
     def __enter__(self) -> SharedMetrics:
         self._sums.persist(StorageLevel.MEMORY_AND_DISK)
+        self._sums.count()  # fill it once; three writes that start at once would each compute it
         return self
 
     def __exit__(self, *_) -> None:

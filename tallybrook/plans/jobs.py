@@ -4,19 +4,22 @@
     spark-submit tallybrook_job.py silver
     spark-submit tallybrook_job.py gold
     spark-submit tallybrook_job.py batch
-    spark-submit tallybrook_job.py produce --bootstrap-servers host:9092 --count 1000
+    spark-submit tallybrook_job.py refresh --start 2026-03-13
+    spark-submit tallybrook_job.py compact --ingest-date 2026-03-12
 """
 
 from __future__ import annotations
 
 import argparse
 from concurrent.futures import ThreadPoolExecutor
+from datetime import date
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallybrook.operators import checks, generate, gold, silver
+from tallybrook.operators import checks, gold, refresh, silver
 from tallybrook.plans import session
 from tallybrook.sources import kafka, tables
 from tallybrook.streaming import ingest
@@ -38,8 +41,10 @@ def start_bronze(
     max_offsets_per_trigger: int | None = None,
     min_partitions: int | None = None,
     available_now: bool = False,
+    processing_time: str | None = None,
+    exact_payout: bool = False,
 ) -> StreamingQuery:
-    """Kafka to Bronze and quarantine."""
+    """Kafka to Bronze and quarantine. A pause between batches (`processing_time`) makes fewer files."""
     session.configure(spark)
     records = kafka.read_stream(
         spark,
@@ -49,27 +54,43 @@ def start_bronze(
         max_offsets_per_trigger=max_offsets_per_trigger,
         min_partitions=min_partitions,
     )
-    return ingest.start(records, output_path, checkpoint_path, available_now=available_now)
+    return ingest.start(
+        records,
+        output_path,
+        checkpoint_path,
+        available_now=available_now,
+        processing_time=processing_time,
+        exact_payout=exact_payout,
+    )
 
 
-def run_silver(spark: SparkSession, bronze_path: str = BRONZE_PATH, silver_path: str = SILVER_PATH) -> None:
+def run_silver(
+    spark: SparkSession,
+    bronze_path: str = BRONZE_PATH,
+    silver_path: str = SILVER_PATH,
+    exact_payout: bool = False,
+) -> None:
     """Rebuild Silver from all of Bronze."""
     session.configure(spark)
-    tables.write_silver(silver.from_bronze(tables.read_bronze(spark, bronze_path)), silver_path)
+    rows = silver.from_bronze(tables.read_bronze(spark, bronze_path), exact_payout)
+    tables.write_silver(rows, silver_path)
 
 
 def run_gold(spark: SparkSession, silver_path: str = SILVER_PATH, gold_path: str = GOLD_PATH) -> None:
-    """Rebuild the three Gold tables from all of Silver.
+    """Rebuild the three Gold tables from all of Silver."""
+    session.configure(spark)
+    _write_gold(spark, tables.read_silver(spark, silver_path), gold_path, None)
+
 
-    The writes do not depend on each other and are submitted together, so that one fills the cores
+def _write_gold(spark: SparkSession, rows: DataFrame, gold_path: str, days: list[date] | None) -> None:
+    """The writes do not depend on each other and are submitted together, so that one fills the cores
     that the last tasks of another leave idle.
     """
-    session.configure(spark)
 
     def write(item: tuple[str, DataFrame]) -> None:
-        tables.write_gold(item[1], gold_path, item[0])
+        tables.write_gold(item[1], gold_path, item[0], days)
 
-    with gold.SharedMetrics(tables.read_silver(spark, silver_path)) as metrics:
+    with gold.SharedMetrics(rows) as metrics:
         gold_tables = metrics.tables()
         with ThreadPoolExecutor(len(gold_tables)) as writers:
             list(writers.map(inheritable_thread_target(spark)(write), gold_tables.items()))
@@ -80,19 +101,50 @@ def run_batch(
     bronze_path: str = BRONZE_PATH,
     silver_path: str = SILVER_PATH,
     gold_path: str = GOLD_PATH,
+    exact_payout: bool = False,
 ) -> None:
     """Check Bronze, build Silver, build Gold, check Gold; stops at the first failure."""
     session.configure(spark)
     checks.require(checks.bronze_report(spark, bronze_path))
-    run_silver(spark, bronze_path, silver_path)
+    run_silver(spark, bronze_path, silver_path, exact_payout)
     run_gold(spark, silver_path, gold_path)
     checks.require(checks.gold_report(spark, gold_path, tables.read_silver(spark, silver_path)))
 
 
-def produce(spark: SparkSession, bootstrap_servers: str, topic: str, count: int) -> None:
-    """Send synthetic events to Kafka."""
+def run_refresh(
+    spark: SparkSession,
+    bronze_path: str = BRONZE_PATH,
+    silver_path: str = SILVER_PATH,
+    gold_path: str = GOLD_PATH,
+    start: str | None = None,
+    end: str | None = None,
+    exact_payout: bool = False,
+) -> list[date]:
+    """Bring Silver and Gold up to date with the Bronze days from `start` to `end`; gives the days
+    that were written. The outcome is that of a full rebuild, and running it again changes nothing.
+    """
+    session.configure(spark)
+    new = silver.from_bronze(tables.read_bronze(spark, bronze_path, start, end), exact_payout)
+    new = new.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        current = tables.read_silver(spark, silver_path)
+        days = refresh.affected_days(new, current)
+        if days:
+            tables.write_silver(refresh.refreshed(new, current, days), silver_path, days)
+    finally:
+        new.unpersist()
+    if days:
+        rows = tables.read_silver(spark, silver_path).filter(F.col("event_date").isin(days))
+        _write_gold(spark, rows, gold_path, days)
+    return days
+
+
+def run_compact(spark: SparkSession, ingest_date: str, bronze_path: str = BRONZE_PATH) -> int:
+    """Gather the files of a closed day of Bronze."""
     session.configure(spark)
-    kafka.writer(generate.events(spark, count), bootstrap_servers, topic).save()
+    if ingest_date >= str(spark.sql("SELECT current_date()").first()[0]):
+        raise ValueError(f"{ingest_date} is not over")
+    return tables.compact_bronze(spark, bronze_path, ingest_date)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -118,10 +170,14 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--max-offsets-per-trigger", type=int)
     stream.add_argument("--min-partitions", type=int)
     stream.add_argument("--available-now", action="store_true")
-    job("silver", "bronze", "silver")
+    stream.add_argument("--processing-time")
     job("gold", "silver", "gold")
-    job("batch", "bronze", "silver", "gold")
-    with_kafka(job("produce")).add_argument("--count", type=int, default=1000)
+    refreshing = job("refresh", "bronze", "silver", "gold")
+    refreshing.add_argument("--start")
+    refreshing.add_argument("--end")
+    for arguments in [stream, job("silver", "bronze", "silver"), job("batch", "bronze", "silver", "gold"), refreshing]:
+        arguments.add_argument("--exact-payout", action="store_true")
+    job("compact", "bronze").add_argument("--ingest-date", required=True)
     return root
 
 
@@ -129,7 +185,13 @@ def main(arguments: list[str] | None = None) -> None:
     options = vars(parser().parse_args(arguments))
     name = options.pop("job")
     spark = session.create(f"tallybrook-{name}")
-    run = {"silver": run_silver, "gold": run_gold, "batch": run_batch, "produce": produce}
+    run = {
+        "silver": run_silver,
+        "gold": run_gold,
+        "batch": run_batch,
+        "refresh": run_refresh,
+        "compact": run_compact,
+    }
     if name == "bronze":
         start_bronze(spark, **options).awaitTermination()
     else:

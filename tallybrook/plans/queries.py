@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallybrook.contract import EVENT_FIELDS
 from tallybrook.functions import rules
-from tallybrook.operators import bronze, checks, generate, gold, reports, silver
+from tallybrook.operators import bronze, checks, gold, reports, silver
 from tallybrook.plans import jobs, session
 from tallybrook.sources import files, kafka, lanes, tables, workspace
 from tallybrook.streaming import ingest
@@ -31,9 +31,12 @@ def _silver_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.from_bronze(bronze.valid_side(_bronze_p(spark, sf_dir)))
 
 
+def _silver_of(lane: DataFrame) -> DataFrame:
+    return silver.from_bronze(lane.withColumn("ingest_date", F.to_date("kafka_ingest_ts")))
+
+
 def _silver_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = lanes.lane_l(spark, sf_dir).withColumn("ingest_date", F.to_date("kafka_ingest_ts"))
-    return silver.from_bronze(events)
+    return _silver_of(lanes.lane_l(spark, sf_dir))
 
 
 def _as_text(timestamp: str):
@@ -119,6 +122,12 @@ def _written_bronze(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _put_bronze(events: DataFrame, path: str, ingest_date: str, batch_id: int) -> None:
+    rows = bronze.valid_side(bronze.from_records(lanes.as_records(events)))
+    rows = rows.withColumn("ingest_date", F.lit(ingest_date).cast("date"))
+    tables.write_batch(rows, path, "batch", batch_id, "ingest_date")
+
+
 def bronze_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.bronze_report(spark, _written_bronze(spark, sf_dir))
 
@@ -143,33 +152,57 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_gold(spark, gold_path, "platform_metrics")
 
 
-def synthetic_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generated event per row of `events`."""
-    return generate.events_for(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
-
-
-def synthetic_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The generated events sent through the payload encoding and Bronze, counted by property."""
-    payloads = kafka.encode(synthetic_events(spark, sf_dir))
-    records = payloads.withColumn("timestamp", F.lit("2026-03-13 00:00:00").cast("timestamp"))
-    amount, rate = F.col("order_amount"), F.col("platform_fee") / F.col("order_amount")
-    return (
-        bronze.from_records(records)
-        .groupBy("event_id")
-        .agg(
-            F.count("*").alias("copies"),
-            F.min("is_valid_record").alias("valid"),
-            F.min(amount.between(8.0, 250.0)).alias("amount_in_range"),
-            F.min(rate.between(0.079, 0.181)).alias("fee_in_range"),
-        )
-        .agg(
-            F.sum("copies").alias("events"),
-            F.count("*").alias("distinct_ids"),
-            F.count_if("valid").alias("valid_events"),
-            F.count_if("amount_in_range").alias("amounts_in_range"),
-            F.count_if("fee_in_range").alias("fees_in_range"),
-        )
-    )
+def _rebuilt(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Silver and Gold of lane C, built by the batch job."""
+    bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
+    _put_bronze(lanes.lane_c(spark, sf_dir), bronze_path, "2026-01-01", 0)
+    jobs.run_batch(spark, bronze_path, *_paths_beside(bronze_path))
+    return _paths_beside(bronze_path)
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The same in two parts: lane P by the batch job, then its later copies by a refresh."""
+    bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
+    _put_bronze(lanes.lane_p(spark, sf_dir), bronze_path, "2026-01-01", 0)
+    jobs.run_batch(spark, bronze_path, *_paths_beside(bronze_path))
+    _put_bronze(lanes.later_copies(spark, sf_dir), bronze_path, "2026-01-02", 1)
+    jobs.run_refresh(spark, bronze_path, *_paths_beside(bronze_path), start="2026-01-02")
+    return _paths_beside(bronze_path)
+
+
+Build = Callable[[SparkSession, str], tuple[str, str]]
+
+
+def _stored_silver(build: Build) -> Query:
+    return lambda spark, sf_dir: _silver_columns(tables.read_silver(spark, build(spark, sf_dir)[0]))
+
+
+def _stored_gold(build: Build, table: str) -> Query:
+    return lambda spark, sf_dir: tables.read_gold(spark, build(spark, sf_dir)[1], table)
+
+
+def bronze_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on a Bronze table whose amounts are text."""
+    path = f"{workspace.new_folder(spark, 'tables')}/bronze"
+    rows = bronze.valid_side(_bronze_p(spark, sf_dir))
+    rows.withColumn("order_amount", F.col("order_amount").cast("string")).write.parquet(path)
+    return checks.bronze_report(spark, path)
+
+
+def gold_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on Gold with the last day's sellers twice, dearer by one, and no city table."""
+    bronze_path = _written_bronze(spark, sf_dir)
+    silver_path, gold_path = _paths_beside(bronze_path)
+    jobs.run_silver(spark, bronze_path, silver_path)
+    jobs.run_gold(spark, silver_path, gold_path)
+    damaged = f"{gold_path}_damaged"
+    sellers = tables.read_gold(spark, gold_path, "seller_metrics")
+    last = sellers.join(sellers.agg(F.max("event_date").alias("event_date")), "event_date", "left_semi")
+    copies = last.withColumn("gross_sales", F.col("gross_sales") + 1)
+    tables.write_gold(sellers.unionByName(copies), damaged, "seller_metrics")
+    platform = tables.read_gold(spark, gold_path, "platform_metrics")
+    tables.write_gold(platform, damaged, "platform_metrics")
+    return checks.gold_report(spark, damaged, tables.read_silver(spark, silver_path))
 
 
 _QUERIES: dict[str, Query] = {
@@ -195,8 +228,22 @@ _QUERIES: dict[str, Query] = {
     "bronze_ready": bronze_ready,
     "gold_checks": gold_checks,
     "batch_run": batch_run,
-    "synthetic_events": synthetic_events,
-    "synthetic_profile": synthetic_profile,
+    "gold_seller_metrics_fine": lambda spark, sf_dir: gold.seller_metrics(
+        _silver_of(lanes.lane_f(spark, sf_dir))
+    ),
+    "gold_platform_metrics_huge": lambda spark, sf_dir: gold.platform_metrics(
+        _silver_of(lanes.lane_h(spark, sf_dir))
+    ),
+    "batch_silver": _stored_silver(_rebuilt),
+    "batch_seller_metrics": _stored_gold(_rebuilt, "seller_metrics"),
+    "batch_city_metrics": _stored_gold(_rebuilt, "city_metrics"),
+    "batch_platform_metrics": _stored_gold(_rebuilt, "platform_metrics"),
+    "refresh_silver": _stored_silver(_refreshed),
+    "refresh_seller_metrics": _stored_gold(_refreshed, "seller_metrics"),
+    "refresh_city_metrics": _stored_gold(_refreshed, "city_metrics"),
+    "refresh_platform_metrics": _stored_gold(_refreshed, "platform_metrics"),
+    "bronze_damaged": bronze_damaged,
+    "gold_damaged": gold_damaged,
 }
 
 

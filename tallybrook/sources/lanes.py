@@ -3,6 +3,9 @@
 Lane P maps `events` and has defective records but no copies. Lane L maps `lineitem` with its order,
 customer and nation, and has copies but no defects. Fees use `floor(x + 0.5)` rather than `round`,
 which gives the same double in every engine.
+
+Lane C adds later copies, with other amounts and days, to lane P. Lanes F and H are lane L with
+amounts of six decimals and of about 10^9.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ def _by_remainder(number: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(value) for value in values]), position)
 
 
-def _cents(amount: Column) -> Column:
-    return F.floor(amount * 100 + 0.5) / 100.0
+def _rounded(amount: Column, steps: float = 100.0) -> Column:
+    return F.floor(amount * steps + 0.5) / steps
 
 
-def _fee(amount: Column) -> Column:
-    return F.floor(amount * 12 + 0.5) / 100.0
+def _fee(amount: Column, steps: float = 100.0) -> Column:
+    return F.floor(amount * (0.12 * steps) + 0.5) / steps
 
 
 def _id(prefix: str, *parts: Column) -> Column:
@@ -39,6 +42,22 @@ def _id(prefix: str, *parts: Column) -> Column:
 
 def lane_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event columns and `kafka_ingest_ts`."""
+    return _from_events(_table(spark, sf_dir, "events"))
+
+
+def later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh event of lane P once more: a day later, by one unit dearer."""
+    events = _table(spark, sf_dir, "events").where(F.col("event_id") % 7 == 0)
+    return _from_events(
+        events.withColumns({"value": F.col("value") + 1, "ts": F.col("ts") + F.expr("INTERVAL 1 DAY")})
+    )
+
+
+def lane_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lane_p(spark, sf_dir).unionByName(later_copies(spark, sf_dir))
+
+
+def _from_events(events: DataFrame) -> DataFrame:
     number, user, value = F.col("event_id"), F.col("user_id"), F.col("value")
 
     def every(step: int) -> Column:
@@ -62,18 +81,29 @@ def lane_p(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type": event_type,
         "order_amount": amount,
         "platform_fee": _fee(value),
-        "seller_payout": F.when(every(43), value).otherwise(_cents(value - _fee(value))),
+        "seller_payout": F.when(every(43), value).otherwise(_rounded(value - _fee(value))),
         "currency": F.lit("USD"),
         "event_timestamp": timestamp,
         "kafka_ingest_ts": F.col("ts").cast("timestamp"),
     }
-    events = _table(spark, sf_dir, "events")
     return events.select(*[column.alias(name) for name, column in columns.items()])
 
 
 def lane_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event columns and `kafka_ingest_ts`."""
-    order, line, amount = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_extendedprice")
+    return _from_lines(spark, sf_dir, F.col("l_extendedprice"), 100.0)
+
+
+def lane_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_lines(spark, sf_dir, F.col("l_extendedprice") / 10000.0, 1000000.0)
+
+
+def lane_h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_lines(spark, sf_dir, F.col("l_extendedprice") + 950000000.0, 100.0)
+
+
+def _from_lines(spark: SparkSession, sf_dir: str, amount: Column, steps: float) -> DataFrame:
+    order, line, fee = F.col("l_orderkey"), F.col("l_linenumber"), _fee(amount, steps)
     columns = {
         "event_id": _id("evt", order, line),
         "order_id": _id("ord", order),
@@ -84,8 +114,8 @@ def lane_l(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payment_method": _by_remainder(F.col("o_custkey"), PAYMENT_METHODS),
         "event_type": _by_remainder(order + line, EVENT_TYPES),
         "order_amount": amount,
-        "platform_fee": _fee(amount),
-        "seller_payout": _cents(amount - _fee(amount)),
+        "platform_fee": fee,
+        "seller_payout": _rounded(amount - fee, steps),
         "currency": F.lit("USD"),
         "event_timestamp": F.concat(
             F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T00:00:00.000000+00:00")

@@ -1,7 +1,15 @@
-"""Bronze, Silver and Gold as partitioned Parquet."""
+"""Bronze, Silver and Gold as partitioned Parquet.
+
+Tables are replaced by renames: a write goes to a fresh folder beside the table, and takes its place
+only when it is complete. A write that fails leaves the table as it was. A job that dies between the
+renames leaves the former data in the folder named `<table>.old-...`.
+"""
 
 from __future__ import annotations
 
+import uuid
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +23,13 @@ from tallybrook.contract import (
 )
 
 
+# The run under which the gathered batches of a closed day are kept.
+COMPACTED = "compacted"
+
+# Opening files for a few thousand days keeps no more tasks busy than this, however large the cluster.
+MOST_TASKS_FOR_DAYS = 200
+
+
 def quarantine_path(bronze_path: str) -> str:
     return bronze_path.rstrip("/") + "_invalid"
 
@@ -68,35 +83,96 @@ def _gather_days(table: DataFrame, *order: str) -> DataFrame:
     return table.hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", *order)
 
 
-def _replace(table: DataFrame, path: str) -> None:
-    (
-        table.write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("event_date")
-        .parquet(path)
-    )
+class _Folders:
+    """Renames in the file system that holds a table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._files.exists(self._path(path))
+
+    def move(self, source: str, target: str) -> None:
+        self._files.mkdirs(self._path(target).getParent())
+        if not self._files.rename(self._path(source), self._path(target)):
+            raise OSError(f"{source} could not be renamed to {target}")
+
+    def remove(self, path: str) -> None:
+        self._files.delete(self._path(path), True)
 
+    def matching(self, pattern: str) -> list[str]:
+        return [str(status.getPath().toString()) for status in self._files.globStatus(self._path(pattern)) or []]
 
-def write_silver(silver: DataFrame, path: str) -> None:
-    """Replace Silver. Ordered by type within a day, so that Gold can skip row groups without captures."""
-    _replace(_gather_days(silver, "event_type"), path)
+
+def _beside(path: str, label: str) -> str:
+    return f"{path.rstrip('/')}.{label}-{uuid.uuid4().hex}"
+
+
+def _write_fresh(table: DataFrame, path: str) -> str:
+    """Write to a fresh folder beside `path`; a write that fails leaves nothing."""
+    fresh = _beside(path, "new")
+    try:
+        table.write.partitionBy("event_date").parquet(fresh)
+    except BaseException:
+        _Folders(table.sparkSession, path).remove(fresh)
+        raise
+    return fresh
+
+
+def _replace(table: DataFrame, path: str) -> None:
+    fresh, former = _write_fresh(table, path), _beside(path, "old")
+    folders = _Folders(table.sparkSession, path)
+    if folders.exists(path):
+        folders.move(path, former)
+    folders.move(fresh, path)
+    folders.remove(former)
+
+
+def _replace_days(table: DataFrame, path: str, days: list[date]) -> None:
+    """Replace the given days, those without rows included; other days stay untouched."""
+    fresh, former = _write_fresh(table, path), _beside(path, "old")
+    folders = _Folders(table.sparkSession, path)
+    for day in days:
+        part = f"event_date={day}"
+        if folders.exists(f"{path}/{part}"):
+            folders.move(f"{path}/{part}", f"{former}/{part}")
+        if folders.exists(f"{fresh}/{part}"):
+            folders.move(f"{fresh}/{part}", f"{path}/{part}")
+    folders.remove(fresh)
+    folders.remove(former)
+
+
+def _put(table: DataFrame, path: str, days: list[date] | None) -> None:
+    if days is None:
+        _replace(table, path)
+    else:
+        _replace_days(table, path, days)
+
+
+def write_silver(silver: DataFrame, path: str, days: list[date] | None = None) -> None:
+    """Replace Silver, or some days of it. Ordered by type within a day, so that Gold can skip row
+    groups without captures.
+    """
+    _put(_gather_days(silver, "event_type"), path, days)
 
 
 def _spread_days(table: DataFrame) -> DataFrame:
-    """Give every core its share of the days of a table that has few rows per day.
+    """Give the cores their share of the days of a table that has few rows per day.
 
     Such a write spends its time on opening files, one per day, so it must be spread by days and not
     by bytes: by its size, years of days would be merged into one task. The hash keeps Spark from
     taking this shuffle for the one before it, which it may merge.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, F.xxhash64("event_date"))
+    return table.repartition(min(cores, MOST_TASKS_FOR_DAYS), F.xxhash64("event_date"))
 
 
-def write_gold(table: DataFrame, gold_path: str, name: str) -> None:
-    """Replace one Gold table. A day has one row or one per city, but may have very many sellers."""
+def write_gold(table: DataFrame, gold_path: str, name: str, days: list[date] | None = None) -> None:
+    """Replace one Gold table, or some days. A day has one row or one per city, but may have very many
+    sellers."""
     arrange = _gather_days if "seller_id" in GOLD_GRAINS[name] else _spread_days
-    _replace(arrange(table), f"{gold_path}/{name}")
+    _put(arrange(table), f"{gold_path}/{name}", days)
 
 
 def write_batch(rows: DataFrame, path: str, run_id: str, batch_id: int, *partitions: str) -> None:
@@ -112,3 +188,38 @@ def write_batch(rows: DataFrame, path: str, run_id: str, batch_id: int, *partiti
         .partitionBy(*partitions, "run_id", "batch_id")
         .parquet(path)
     )
+
+
+def _batch_of(folder: str) -> tuple[str, str, int]:
+    """ingest_date, run_id and batch_id of a batch's folder."""
+    day, run, batch = (part.partition("=")[2] for part in folder.rstrip("/").rsplit("/", 3)[1:])
+    return day, run, int(batch)
+
+
+def compact_bronze(spark: SparkSession, path: str, ingest_date: str) -> int:
+    """Gather the micro-batches of a closed day into few files; gives the number of folders gathered.
+
+    The last batch of each stream stays as it is, for it alone may be replayed, which must replace it.
+    Only folder names are listed, those of this day and of later ones.
+    """
+    folders = _Folders(spark, path)
+    last: dict[str, int] = {}
+    todays = []
+    for folder in folders.matching(f"{path}/ingest_date=*/run_id=*/batch_id=*"):
+        day, run, batch = _batch_of(folder)
+        if day >= ingest_date:
+            last[run] = max(batch, last.get(run, batch))
+        if day == ingest_date:
+            todays.append((folder, run, batch))
+    closed = [folder for folder, run, batch in todays if run == COMPACTED or batch < last[run]]
+    if len(closed) < 2:
+        return 0
+    fresh, former = _beside(path, "new"), _beside(path, "old")
+    rows = spark.read.schema(BRONZE_SCHEMA).option("basePath", path).parquet(*closed)
+    rows.drop("ingest_date").hint("rebalance").write.parquet(fresh)
+    for folder in closed:
+        _, run, batch = _batch_of(folder)
+        folders.move(folder, f"{former}/run_id={run}/batch_id={batch}")
+    folders.move(fresh, f"{path}/ingest_date={ingest_date}/run_id={COMPACTED}/batch_id=0")
+    folders.remove(former)
+    return len(closed)

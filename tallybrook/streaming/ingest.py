@@ -12,8 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 from tallybrook.operators import bronze
 from tallybrook.sources import tables
 
-REJECTED_ROWS_PER_FILE = 1_000_000
-
 
 class BatchWriter:
     """Splits each micro-batch into Bronze and quarantine rows.
@@ -45,11 +43,10 @@ class BatchWriter:
             ).first()
             if size.valid > 0:
                 self.write_valid(bronze.valid_side(batch), batch_id)
-            rejected = size.row_count - size.valid
-            if rejected > 0:
-                # Few rows from many tasks would make as many tiny files.
-                file_count = -(-rejected // REJECTED_ROWS_PER_FILE)
-                rows = bronze.quarantine_side(batch).repartition(file_count)
+            if size.row_count > size.valid:
+                # Few rows from many tasks would make as many tiny files; many large payloads must
+                # not meet in one task. Adaptive execution sizes the tasks by bytes.
+                rows = bronze.quarantine_side(batch).hint("rebalance")
                 self.write_rejected(rows, batch_id)
         finally:
             batch.unpersist()

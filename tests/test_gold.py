@@ -166,12 +166,39 @@ def test_no_captures_gives_no_rows(spark):
     assert all(metrics(table).isEmpty() for metrics in TABLES.values())
 
 
-def test_finer_fraction(spark):
+def test_fraction_of_cent(spark):
     amounts = spark.createDataFrame([(1.25,), (1.255,), (0.1 + 0.2,), (249.99,)], "x double")
-    flags = amounts.select(money.has_finer_fraction(F.col("x"), 100)).collect()
+    flags = amounts.select(money.has_fraction_of_cent(F.col("x"))).collect()
     assert [row[0] for row in flags] == [False, True, False, False]
 
 
+@pytest.mark.parametrize(
+    "rows, amount, gross, average",
+    [
+        (100_000, 0.00004, 4.0, 0.0),
+        (1_200_000, 9.0e8, 1.08e15, 9.0e8),
+        (600_000, 9.0e8, 5.4e14, 9.0e8),
+        (300, 1e17, 3e19, 1e17),
+    ],
+)
+def test_sums_keep_small_and_large_amounts(spark, rows, amount, gross, average):
+    table = spark.range(rows).select(
+        F.lit("2026-03-13").cast("date").alias("event_date"),
+        F.lit("payment_captured").alias("event_type"),
+        *[F.lit(name).alias(name) for name in ["seller_id", "customer_id", "city"]],
+        *[F.lit(amount).alias(name) for name in ["order_amount", "platform_fee", "seller_payout"]],
+    )
+    for metrics in TABLES.values():
+        row = metrics(table).first()
+        assert (row.transaction_count, row.gross_sales, row.avg_order_value) == (rows, gross, average)
+
+
+def test_an_average_is_rounded_once(spark):
+    """3.0149999999 and so on: ten digits of the quotient already show a half cent."""
+    table = _silver(spark, [event(order_amount=x, platform_fee=0.0, seller_payout=x) for x in (1.0049999999, 1.005, 1.005)])
+    assert gold.platform_metrics(table).first().avg_order_value == 1.0
+
+
 def test_outcomes(spark):
     types = ["payment_captured", "payment_captured", "payment_failed", "refund_issued"]
     table = _silver(

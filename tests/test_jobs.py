@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
+import generated as generate
 from samples import bronze_table, event, paid, rows_of
 from tallybrook.contract import GOLD_SCHEMAS, SILVER_SCHEMA
-from tallybrook.operators import checks, generate
+from tallybrook.operators import checks, refresh
 from tallybrook.plans import jobs, session
 from tallybrook.sources import files, kafka, tables, workspace
 
@@ -105,7 +108,7 @@ def test_gold_report(spark, tmp_path):
     report = gold_values(spark, tmp_path)
     assert report["seller_metrics_rows"].value == 3
     assert report["captured_rows_with_fraction_of_cent"].value == 1
-    assert report["captured_rows_below_exact_unit"].value == 0
+    assert report["captured_rows_beyond_exact_sums"].value == 0
     assert all(row.passed for row in report.values() if row.severity == "error")
 
 
@@ -146,7 +149,17 @@ def test_command_line():
         "max_offsets_per_trigger": None,
         "min_partitions": None,
         "available_now": False,
+        "processing_time": None,
+        "exact_payout": False,
     }
+    options = jobs.parser().parse_args(["refresh", "--start", "2026-03-13", "--exact-payout"])
+    assert (options.start, options.end, options.exact_payout) == ("2026-03-13", None, True)
+    assert jobs.parser().parse_args(["compact", "--ingest-date", "2026-03-12"]).bronze_path == "data/bronze"
+
+
+def test_only_closed_days_are_compacted(spark, tmp_path):
+    with pytest.raises(ValueError, match="not over"):
+        jobs.run_compact(spark, "2999-01-01", str(tmp_path))
 
 
 def test_kafka_options():
@@ -173,28 +186,50 @@ def test_recorded_payloads_read_back(spark, tmp_path):
     assert rows_of(decoded.select(*sent.columns)) == rows_of(sent)
 
 
-def test_generated_events(spark):
-    events = generate.events(spark, 20000).cache()
-    row = events.agg(
-        F.count_distinct("event_id").alias("ids"),
-        F.min("order_amount").alias("low"),
-        F.max("order_amount").alias("high"),
-        F.avg("order_amount").alias("mean"),
-        F.min(F.col("platform_fee") / F.col("order_amount")).alias("rate_low"),
-        F.max(F.col("platform_fee") / F.col("order_amount")).alias("rate_high"),
-        F.count_distinct("city").alias("cities"),
-        F.count_distinct("event_type").alias("types"),
-        F.count_distinct("seller_id").alias("sellers"),
-        F.max("event_timestamp").alias("last"),
-    ).first()
-    assert (row.ids, row.cities, row.types, row.sellers) == (20000, 6, 5, 900)
-    assert 8.0 <= row.low < 8.1 and 249.9 < row.high <= 250.0 and abs(row["mean"] - 129) < 2
-    assert 0.079 < row.rate_low and row.rate_high < 0.181
-    assert row.last == "2026-03-13T11:06:38.000000+00:00"
-    uuid = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-    assert events.filter(~F.col("event_id").rlike(uuid)).isEmpty()
-    again = generate.events_for(spark.range(20000).repartition(7))
-    assert rows_of(again) == rows_of(events)
+def test_a_write_that_fails_leaves_the_table(spark, tmp_path):
+    put_bronze(spark, tmp_path / "bronze", EVENTS)
+    jobs.run_batch(spark, *paths(tmp_path))
+    first = read_all(spark, tmp_path)
+    _, silver_path, gold_path = paths(tmp_path)
+    for table, write in [
+        (tables.read_silver(spark, silver_path), lambda t: tables.write_silver(t, silver_path)),
+        (tables.read_gold(spark, gold_path, "city_metrics"), lambda t: tables.write_gold(t, gold_path, "city_metrics")),
+    ]:
+        late = F.when(F.col("event_date") == "2026-03-14", F.raise_error(F.lit("lost midway"))).otherwise(F.col("city"))
+        with pytest.raises(Exception, match="lost midway"):
+            write(table.withColumn("city", late.cast("string")))
+    assert read_all(spark, tmp_path) == first
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bronze", "gold", "silver"]
+
+
+LATER = [
+    paid(31.0, event_id="c", event_timestamp="2026-03-16T00:00:00+00:00"),
+    paid(5.0, event_id="a", event_timestamp="2026-03-01T00:00:00+00:00"),
+    paid(7.0, event_id="n", event_timestamp="2026-03-16T01:00:00+00:00"),
+]
+
+
+def test_refresh_equals_a_rebuild_and_touches_only_its_days(spark, tmp_path):
+    put_bronze(spark, tmp_path / "one" / "bronze", EVENTS)
+    jobs.run_batch(spark, *paths(tmp_path / "one"))
+    untouched = sorted((tmp_path / "one").rglob("event_date=2026-03-13/*.parquet"))
+    later = bronze_table(spark, LATER).withColumn("ingest_date", F.lit("2027-01-01").cast("date"))
+    later.write.mode("append").partitionBy("ingest_date").parquet(str(tmp_path / "one" / "bronze"))
+    days = jobs.run_refresh(spark, *paths(tmp_path / "one"), start="2027-01-01")
+    assert [str(day) for day in days] == ["2026-03-01", "2026-03-13", "2026-03-14", "2026-03-16"]
+    spark.read.parquet(str(tmp_path / "one" / "bronze")).write.partitionBy("ingest_date").parquet(str(tmp_path / "two" / "bronze"))
+    jobs.run_batch(spark, *paths(tmp_path / "two"))
+    assert read_all(spark, tmp_path / "one") == read_all(spark, tmp_path / "two")
+    assert not list((tmp_path / "one").rglob("event_date=2026-03-14"))
+    assert untouched and jobs.run_refresh(spark, *paths(tmp_path / "one"), start="2030-01-01") == []
+
+
+def test_refresh_reads_only_its_days(spark, tmp_path):
+    put_bronze(spark, tmp_path / "bronze", EVENTS)
+    jobs.run_silver(spark, *paths(tmp_path)[:2])
+    current = tables.read_silver(spark, paths(tmp_path)[1])
+    plan = refresh.refreshed(current.limit(0), current, [date(2026, 3, 14)])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "2026-03-14" in plan
 
 
 def test_configure_pins_the_zone(spark):

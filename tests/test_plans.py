@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+import generated as generate
 from samples import bronze_table, event
-from tallybrook.operators import bronze, generate, gold, silver
+from tallybrook.operators import bronze, gold, silver
 from tallybrook.plans.queries import registered
 from tallybrook.sources import lanes, tables
 

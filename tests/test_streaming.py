@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import date
 from pathlib import Path
+from random import Random
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -106,15 +107,41 @@ def test_an_empty_side_writes_nothing(spark, tmp_path, good, bad):
     assert bool(data_files(tmp_path / "bronze_invalid")) == bool(bad)
 
 
-def test_rejected_rows_of_many_tasks_share_files(spark, tmp_path, monkeypatch):
-    wide = records(spark, [payload(event_id=f"b{i}", seller_payout=1.0) for i in range(40)])
-    wide.repartition(8).write.parquet(str(tmp_path / "in"))
-    run(spark, tmp_path / "in", tmp_path / "one", tmp_path / "check1")
-    assert len(data_files(tmp_path / "one_invalid")) == 1
-    monkeypatch.setattr(ingest, "REJECTED_ROWS_PER_FILE", 15)
-    run(spark, tmp_path / "in", tmp_path / "three", tmp_path / "check2")
-    assert len(data_files(tmp_path / "three_invalid")) == 3
-    assert tables.read_quarantine(spark, str(tmp_path / "three")).count() == 40
+def test_rejected_rows_are_gathered_by_bytes(spark, tmp_path):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    for name, filler in [("few", ""), ("large", None)]:
+        texts = [filler if filler is not None else "".join(Random(i).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20_000)) for i in range(40)]
+        wide = records(spark, [payload(event_id=f"b{i}", seller_payout=1.0, city=text) for i, text in enumerate(texts)])
+        wide.repartition(8).write.parquet(str(tmp_path / name))
+        spark.conf.set(size, "100k")
+        try:
+            run(spark, tmp_path / name, tmp_path / f"{name}-out", tmp_path / f"{name}-check")
+        finally:
+            spark.conf.unset(size)
+        written = len(data_files(tmp_path / f"{name}-out_invalid"))
+        assert written == 1 if name == "few" else written > 1
+        assert tables.read_quarantine(spark, str(tmp_path / f"{name}-out")).count() == 40
+
+
+def test_compaction_keeps_rows_and_replays(spark, tmp_path):
+    """Batches of a closed day are gathered, but for the last one, which a replay must replace."""
+    source, target, checkpoint = (tmp_path / name for name in ["in", "bronze", "check"])
+    for k in range(4):
+        put(spark, source, [payload(event_id=f"e{k}")])
+        run(spark, source, target, checkpoint)
+    written = tables.read_bronze(spark, str(target))
+    day, before = str(written.first().ingest_date), rows_of(written)
+    assert tables.compact_bronze(spark, str(target), day) == 3
+    assert rows_of(tables.read_bronze(spark, str(target))) == before
+    assert len(data_files(target)) == 2 and tables.compact_bronze(spark, str(target), day) == 0
+    (checkpoint / "commits" / "3").unlink()
+    (checkpoint / "commits" / ".3.crc").unlink(missing_ok=True)
+    run(spark, source, target, checkpoint)
+    assert rows_of(tables.read_bronze(spark, str(target))) == before
+    put(spark, source, [payload(event_id="e4")])
+    run(spark, source, target, checkpoint)
+    assert tables.compact_bronze(spark, str(target), day) == 2
+    assert ids(tables.read_bronze(spark, str(target))) == [f"e{k}" for k in range(5)]
 
 
 def test_empty_input(spark, tmp_path):
