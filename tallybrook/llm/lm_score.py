@@ -37,7 +37,7 @@ from tallybrook.llm.textarrays import joined, mixed, span_hashes, word_spans
 
 MU = 20.0
 ADD = 0.1
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_200_000
 SAMPLE_DOCS = 2000
 FREQUENT = 500  # a word with a 500th of the sampled tokens is spread
 END, START = mixed(np.array([0xE0D, 0xB05], np.uint64))
@@ -75,7 +75,7 @@ def _scatter(shards: int, spread: np.ndarray):
     """Cut each slice of texts into one row per shard, and a header row with its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=4 << 20):
             texts = [(t or "").encode().lower().decode() for t in batch.column("text").to_pylist()]
             buffer, starts, ends = joined(texts)
             begin, end, first = word_spans(buffer, starts)
