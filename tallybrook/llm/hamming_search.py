@@ -66,8 +66,9 @@ def _probe(pending: DataFrame, index: DataFrame, shift: int, width: int, radius:
     probes = pending.withColumn("flip", F.explode(F.lit(flips)))
     probes = probes.select("query", "bound", _value(F.col("query"), shift, width).bitwiseXOR(F.col("flip")).alias("value"))
     buckets = index.withColumn("v", _value(F.col("code"), shift, width))
-    # Spark takes probes for as few as the queries they come from, and would broadcast them
-    met = probes.join(buckets.hint("shuffle_hash"), (F.col("value") == F.col("v")) & (_distance("query", "code") <= F.col("bound")))
+    # Spark takes probes for as few as the queries they come from, and would broadcast them; a merge
+    # spills, and Spark splits its skewed buckets
+    met = probes.join(buckets.hint("merge"), (F.col("value") == F.col("v")) & (_distance("query", "code") <= F.col("bound")))
     return met.select("query", "code", "lowest", "many", _distance("query", "code").alias("distance"))
 
 
