@@ -100,4 +100,5 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),
     "op3_hamming_search": hamming_search.oracle(),
     "op5_mixing": mixing.oracle(),
+    "op10_jaccard_join": jaccard_join.oracle(),
 }
