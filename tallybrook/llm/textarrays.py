@@ -10,6 +10,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BLOCK = 1 << 20
 _powers = {}
 
 
@@ -28,7 +29,7 @@ _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
 def _power(base: np.uint64, n: int) -> np.ndarray:
     known = _powers.get(base)
     if known is None or len(known) < n:
-        factors = np.full(max(n, 1 << 20), base, np.uint64)
+        factors = np.full(max(n, _BLOCK), base, np.uint64)
         factors[0] = 1
         _powers[base] = known = np.multiply.accumulate(factors)
     return known[:n]
@@ -52,11 +53,26 @@ def word_spans(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def span_hashes(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes in each span."""
+    """A 64-bit hash of the bytes in each span; `begin` and `end` ascend.
+
+    Sums are formed block by block and kept at the ends of spans only, so that the memory is that of
+    the buffer and the spans.
+    """
+    low, high = np.zeros(len(begin), np.uint64), np.zeros(len(end), np.uint64)
+    total, scale = np.uint64(0), np.uint64(1)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(_BYTE[buffer] * _power(_BASE, len(buffer)), out=sums[1:])
-        return mixed((sums[end] - sums[begin]) * _power(_INVERSE, len(buffer) + 1)[begin])
+        for start in range(0, len(buffer) + 1, _BLOCK):
+            part = buffer[start : start + _BLOCK]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE[part] * _power(_BASE, len(part)), out=sums[1:])
+            sums = sums * scale + total
+            for places, found in ((begin, low), (end, high)):
+                own = slice(*np.searchsorted(places, (start, start + _BLOCK)))
+                found[own] = sums[places[own] - start]
+            total, scale = sums[-1], np.uint64(pow(int(_BASE), start + _BLOCK, 1 << 64))
+        blocks = len(buffer) // _BLOCK + 1
+        far = np.array([pow(int(_INVERSE), k * _BLOCK, 1 << 64) for k in range(blocks)], np.uint64)
+        return mixed((high - low) * _power(_INVERSE, _BLOCK)[begin % _BLOCK] * far[begin // _BLOCK])
 
 
 def gram_buckets(buffer: np.ndarray, n: int, bits: int) -> np.ndarray:
