@@ -1,7 +1,7 @@
 """Exact k nearest binary codes by incremental multi-index hashing.
 
-Method: a code is cut into segments of about log2(number of codes) bits, each with an index of its
-own. Round r probes the m segments at radius r: by the pigeonhole principle, every code within
+Method: a code is cut into segments of a little less than log2(number of codes) bits, each with an
+index of its own. Round r probes the m segments at radius r: by the pigeonhole principle, every code within
 distance m (r + 1) - 1 of a query then has met it in some segment. A query is closed as soon as the
 distance of its k-th verified neighbour is covered in this sense; the others go on. The k nearest among a few
 codes of each probed bucket bound the distance from the start, so that the join by segment value
@@ -37,8 +37,12 @@ def sign_code(vector: Column) -> Column:
 
 
 def segments(codes: int) -> list[tuple[int, int]]:
-    """Shift and width of each segment, for this many distinct codes."""
-    count = max(2, min(16, round(BITS / max(math.log2(max(codes, 2)), 4))))
+    """Shift and width of each segment, for this many distinct codes.
+
+    Some six codes share a value on average: to meet them costs less than the probes of a larger
+    radius, which wider segments would need.
+    """
+    count = max(2, min(16, round(BITS / max(math.log2(max(codes, 2)) - 2.5, 4))))
     ends = [BITS * k // count for k in range(count + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
