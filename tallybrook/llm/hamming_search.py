@@ -40,9 +40,9 @@ def segments(codes: int) -> list[tuple[int, int]]:
     """Shift and width of each segment, for this many distinct codes.
 
     Some six codes share a value on average: to meet them costs less than the probes of a larger
-    radius, which wider segments would need.
+    radius, which wider segments would need. At most six segments keep the plans of a round small.
     """
-    count = max(2, min(16, round(BITS / max(math.log2(max(codes, 2)) - 2.5, 4))))
+    count = max(2, min(6, round(BITS / max(math.log2(max(codes, 2)) - 2.5, 4))))
     ends = [BITS * k // count for k in range(count + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
