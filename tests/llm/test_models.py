@@ -213,3 +213,28 @@ def test_language_model_equals_counts(spark, sf_dir, odd_docs, no_docs, monkeypa
         assert [f[5] for f in found] == pytest.approx([e[5] for e in expected], rel=1e-9)
         assert [f[6] for f in found] == pytest.approx([e[6] for e in expected], rel=0.01)
     assert lm_score.score_documents(no_docs, fold(F.col("doc_id"), 10) != 0).count() == 0
+
+
+@pytest.mark.parametrize("text, copies", [("the " * 30 + "end {0}", 300), ("the the", 3000)])
+def test_a_hot_pair_is_spread_over_the_shards(spark, monkeypatch, text, copies):
+    """A pair that a text repeats, and one that every text has, at a third of all tokens or more."""
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 1000)
+    score_shard = lm_score._score_shard
+
+    def guarded(*given):
+        run = score_shard(*given)
+
+        def checked(rows):
+            assert sum(map(len, rows.loc[rows["kind"] == 1, "before"])) // 4 <= 2000
+            return run(rows)
+
+        return checked
+
+    monkeypatch.setattr(lm_score, "_score_shard", guarded)
+    rows = [(k, text.format(k)) for k in range(copies)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = sorted(map(tuple, lm_score.score_documents(docs, fold(F.col("doc_id"), 10) != 0).collect()))
+    expected = list(plain_scores(rows, lm_score.MU))
+    assert [f[:5] for f in found] == [e[:5] for e in expected]
+    assert [f[5] for f in found] == pytest.approx([e[5] for e in expected], rel=1e-9)
+    assert [f[6] for f in found] == pytest.approx([e[6] for e in expected], rel=0.01)
