@@ -142,7 +142,10 @@ def fit(docs: DataFrame, ratings: DataFrame, id_column: str = "doc_id", train_do
     total = max(known.count(), 1)
     draw = F.pmod(F.xxhash64(id_column, F.lit("rated")), F.lit(1 << 30))
     chosen = F.broadcast(known.where(draw < int(min(1.0, train_docs / total) * (1 << 30))))  # about train_docs rows
-    rows = docs.where(F.length("text") <= TRAIN_CHARS).select(id_column, "text").join(chosen, id_column).toPandas().sort_values([id_column, "text"])
+    rows = docs.where(F.length("text") <= TRAIN_CHARS).select(id_column, "text").join(chosen, id_column)
+    text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text")  # one of an id that repeats
+    rows = rows.groupBy(id_column).agg(text.alias("text"), F.first("grade").alias("grade")).toPandas()
+    rows = rows.sort_values([id_column, "text"])
     return train(rows["text"].tolist(), rows["grade"].to_numpy())
 
 

@@ -301,7 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_col
     limit = F.when(F.col("label") == 1, int(min(1.0, train_docs / max(counts.get(1, 0), 1)) * (1 << 30)))
     limit = limit.otherwise(int(min(1.0, train_docs / max(counts.get(0, 0), 1)) * (1 << 30)))
     chosen = F.broadcast(known.where(draw < limit))  # about train_docs rows a class
-    rows = docs.where(F.length("text") <= TRAIN_CHARS).select(id_column, "text").join(chosen, id_column).toPandas()
+    rows = docs.where(F.length("text") <= TRAIN_CHARS).select(id_column, "text").join(chosen, id_column)
+    text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text")  # one of an id that repeats
+    rows = rows.groupBy(id_column).agg(text.alias("text"), F.first("label").alias("label")).toPandas()
     rows = rows.sort_values([id_column, "text"])
     return train(rows["text"].tolist(), rows["label"].to_numpy(), rate), rate
 

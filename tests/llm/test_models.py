@@ -238,3 +238,16 @@ def test_a_hot_pair_is_spread_over_the_shards(spark, monkeypatch, text, copies):
     assert [f[:5] for f in found] == [e[:5] for e in expected]
     assert [f[5] for f in found] == pytest.approx([e[5] for e in expected], rel=1e-9)
     assert [f[6] for f in found] == pytest.approx([e[6] for e in expected], rel=0.01)
+
+
+def test_training_takes_one_text_an_id(spark, monkeypatch):
+    """An id that repeats brings one of its texts to the driver, whatever the order of rows."""
+    rows = [(7, f"text number {k}") for k in range(300)] + [(k, f"other text {k}") for k in range(8, 20)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(7, 20)], "doc_id bigint, label int")
+    taken = []
+    for module, name in ((toxicity, "toxic"), (quality_model, "grade")):
+        monkeypatch.setattr(module, "train", lambda texts, *rest: taken.append(texts))
+        for order in (rows, rows[::-1]):
+            docs = spark.createDataFrame(order, "doc_id bigint, text string").repartition(3)
+            module.fit(docs, labels.withColumnRenamed("label", name))
+    assert [len(t) for t in taken] == [13] * 4 and taken[0] == taken[1] == taken[2] == taken[3]
