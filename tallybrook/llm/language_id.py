@@ -4,8 +4,8 @@ Method: a word's script, by code point ranges, narrows the languages it may have
 a log probability per language and word; a Viterbi pass with a penalty for each switch labels the
 words. Runs of equal labels are the spans; the language with most letters is the text's.
 
-Training counts the trigrams of about `TRAIN_DOCS` labelled texts, taken by a hash of the id, so the
-model's size and cost do not depend on the corpus.
+Training counts the trigrams of about `TRAIN_DOCS` labelled texts a language, all where it has fewer,
+taken by a hash of the id, so the model's size and cost do not depend on the corpus.
 
 Cases: a null text, or one without letters, is `und` with score 0 and no spans; with no labelled
 rows every text is `und`; ties fall to the language that sorts first; words without letters follow
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tallybrook.llm.common import arrow_map, schema_with, slices
 from tallybrook.llm.textarrays import gram_buckets, joined, ranges, segment_sums, word_spans
 
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 20_000  # of a language
 BITS = 16
 PENALTY = 8.0  # nats for a switch of language
 MIN_SHARE = 0.02  # of a language's letters, for a script to be its own
@@ -109,9 +109,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, id_column: str = "doc_id", train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log probabilities by trigram bucket and language, and which scripts each has."""
     rows = labelled.where("lang is not null and text is not null").select(F.col(id_column).alias("id"), "text", "lang")
-    total = max(rows.count(), 1)
-    chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, train_docs / total) * (1 << 30))
-    counts = arrow_map(rows.where(chosen).select("text", "lang"), _counted, "lang string, bucket bigint, n bigint")
+    shares = rows.groupBy(F.col("lang").alias("__lang")).agg(F.least(F.lit(1.0), train_docs / F.count("*")).alias("share"))
+    drawn = rows.join(F.broadcast(shares), F.col("lang") == F.col("__lang"))  # a row a language
+    drawn = drawn.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    counts = arrow_map(drawn.select("text", "lang"), _counted, "lang string, bucket bigint, n bigint")
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2^16 rows a language
     langs = sorted(found["lang"].unique())
     table = np.zeros((len(NAMES) + (1 << BITS), len(langs)))

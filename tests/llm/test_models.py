@@ -251,3 +251,13 @@ def test_training_takes_one_text_an_id(spark, monkeypatch):
             docs = spark.createDataFrame(order, "doc_id bigint, text string").repartition(3)
             module.fit(docs, labels.withColumnRenamed("label", name))
     assert [len(t) for t in taken] == [13] * 4 and taken[0] == taken[1] == taken[2] == taken[3]
+
+
+def test_a_rare_language_is_learned_whole(spark):
+    """The bound on training texts holds for each language, so a frequent one does not displace a rare one."""
+    rows = [(k, "the quick brown fox", "en") for k in range(2000)] + [(5000 + k, f"zyx{chr(97 + k)} wvu", "xx") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    langs, table, _ = language_id.fit(docs, train_docs=40)
+    alone, expected, _ = language_id.fit(docs.where("lang = 'xx'"), train_docs=40)
+    assert langs == ["en", "xx"] and alone == ["xx"]
+    assert table[:, 1] == pytest.approx(expected[:, 0])
