@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import hamming_search, jaccard_join, language_id, lm_score, mixing, pieces, quality_model, quality_rules, toxicity, url_filter
+from tallybrook.llm import filter_audit, hamming_search, jaccard_join, language_id, lm_score, mixing, pieces, quality_model, quality_rules, toxicity, url_filter
 from tallybrook.llm.common import fold, table
 
 # The contract's rules.
@@ -82,6 +82,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_lm_score": op9_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -101,4 +106,5 @@ ORACLES: dict[str, str] = {
     "op3_hamming_search": hamming_search.oracle(),
     "op5_mixing": mixing.oracle(),
     "op10_jaccard_join": jaccard_join.oracle(),
+    "op11_filter_audit": filter_audit.oracle(),
 }
