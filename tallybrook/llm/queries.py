@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import filter_audit, hamming_search, jaccard_join, language_id, lm_score, mixing, pieces, quality_model, quality_rules, toxicity, url_filter
-from tallybrook.llm.common import fold, table
+from tallybrook.llm import filter_audit, hamming_search, jaccard_join, language_id, lm_score, mixing, packing, pieces, quality_model, quality_rules, toxicity, url_filter
+from tallybrook.llm.common import fold, staged, table
 
 # The contract's rules.
 URL_RULES = [
@@ -86,6 +86,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = staged(packing.pack(table(spark, sf_dir, "documents")), "packed")
+    digest = packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.with_steps(digest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_filter_audit": op11_filter_audit,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
