@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import filter_audit, hamming_search, jaccard_join, language_id, lm_score, mixing, packing, pieces, quality_model, quality_rules, toxicity, url_filter
+from tallybrook.llm import filter_audit, hamming_search, jaccard_join, language_id, lm_score, mixing, packing, pieces, quality_model, quality_rules, source_divergence, toxicity, url_filter
 from tallybrook.llm.common import fold, staged, table
 
 # The contract's rules.
@@ -86,6 +86,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = staged(packing.pack(table(spark, sf_dir, "documents")), "packed")
     digest = packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_filter_audit": op11_filter_audit,
+    "op12_source_divergence": op12_source_divergence,
     "op13_packing": op13_packing,
 }
 
@@ -114,4 +119,5 @@ ORACLES: dict[str, str] = {
     "op5_mixing": mixing.oracle(),
     "op10_jaccard_join": jaccard_join.oracle(),
     "op11_filter_audit": filter_audit.oracle(),
+    "op12_source_divergence": source_divergence.oracle(),
 }
