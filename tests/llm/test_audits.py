@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from itertools import permutations
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallybrook.llm import filter_audit
+from tallybrook.llm import filter_audit, source_divergence
+from tallybrook.llm.common import staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,3 +91,67 @@ def test_filter_audit_with_many_parts_passes_the_recursion_limit(spark):
     found = filter_audit.audit(docs, labels)
     assert found.count() == 3500 * 600 and spark.conf.get(filter_audit.ROW_LIMIT) == before
     assert found.where("filter_order = 'EDCBA' AND step = 1").agg(F.sum("removed")).first()[0] == 3499
+
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
+
+
+def plain_divergence(docs, min_docs, top):
+    """docs: (text, lang, source); whole texts, term by term."""
+    docs = [tuple(v or "" for v in d) for d in docs]
+    terms = [TERM.findall(text.translate(LOWER)) for text, *_ in docs]
+    rows = set()
+    for lang in {d[1] for d in docs}:
+        own = [(source, t) for (_, la, source), t in zip(docs, terms) if la == lang]
+        n_docs = Counter(term for _, t in own for term in set(t))
+        kept = [term for term, n in n_docs.items() if n >= min_docs]
+        v = len(kept)
+
+        def probabilities(texts):
+            counts = Counter(term for t in texts for term in t)
+            size = sum(counts[term] for term in kept)
+            return counts, {term: 1 + 10**9 * (counts[term] + 5) // (size + 5 * v) for term in kept}
+
+        p = {source: probabilities([t for s, t in own if s == source]) for source in {s for s, _ in own}}
+        _, q = probabilities([t for _, t in own])
+        for source, (counts, ps) in p.items():
+            apart = [(other, sum(abs(ps[t] - p[other][1][t]) for t in kept)) for other in p if other != source]
+            above = [(t, ps[t] - q[t]) for t in kept if counts[t] and ps[t] > q[t]]
+            for part, items, limit in (("pair", apart, None), ("term", above, top)):
+                items = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:limit]
+                rows |= {(lang, source, part, item, value, rank) for rank, (item, value) in enumerate(items, 1)}
+    return sorted(rows)
+
+
+DIVERGENCE = ["lang", "source", "part", "item", "value", "rank"]
+
+
+def diverging(docs, **bounds):
+    return sorted(tuple(r[c] for c in DIVERGENCE) for r in source_divergence.audit(docs, **bounds).collect())
+
+
+@pytest.mark.parametrize("min_docs, top", [(1, 3), (2, 50), (1000, 50)])
+def test_divergence_equals_a_count_of_whole_texts(spark, odd_docs, min_docs, top):
+    texts = ["foo, Foo;foo-bar (BAR) é9É \x00x\x7fy", "foo\x0bbar bar", "x" * 9000 + " " + "é," * 5000, "１２ a1b2 don't", "\x1cfoo bar東京 東京", ",,, ... 12 34", "bar", "bar"]
+    rows = [(k, t, lang, source) for k, (t, lang, source) in enumerate((t, lang, f"s{(k * 7) % 5}") for k, t in enumerate(texts) for lang in ("en", None))]
+    more = spark.createDataFrame([*rows, (1, None, "en", "only nulls"), (2, "...", "xx", "a"), (3, "", "xx", "b"), (4, "lone", "yy", "a")], "doc_id bigint, text string, lang string, source string")
+    docs = odd_docs.unionByName(more, allowMissingColumns=True).withColumn("a.b", F.lit(1))
+    expected = plain_divergence([(r["text"], r["lang"], r["source"]) for r in docs.collect()], min_docs, top)
+    assert diverging(docs, min_docs=min_docs, top_terms=top) == expected
+
+
+def test_divergence_over_many_slices(spark):
+    rows = [(" ".join(f"t{(k * j) % 97}x" for j in range(60)) + f" only{k}", "en" if k % 3 else "de", f"s{k % 7}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(9)
+    assert diverging(docs, min_docs=30) == plain_divergence(rows, 30, 50)
+
+
+def test_divergence_of_no_documents(no_docs):
+    assert diverging(no_docs) == []
+
+
+def test_each_chunk_is_tokenized_once_and_rare_terms_stay_behind(spark):
+    listed = spark.createDataFrame([("Foo,", 2), ("foo", 1), ("foo", 3), ("bar", 1), ("a-b-a", 9), ("--", 99)], "chunk string, docs int")
+    found = {r["chunk"]: sorted(r["terms"]) for r in source_divergence.chunk_terms(staged(listed, "listed"), 4).collect()}
+    assert found == {"Foo,": ["foo"], "foo": ["foo"], "a-b-a": ["a", "a", "b"]}
