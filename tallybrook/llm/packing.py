@@ -13,8 +13,8 @@ A task packs its own documents, a bounded slice at a time, with what the slice b
 (below 2048 tokens); nothing is gathered. Sequence ids count within a task, whose number they carry:
 a task that is run again on the same rows gives the same sequences.
 
-Tokenizing: the tokenizer drops white space and never looks across it, so a text is cut at ASCII
-white space and each distinct word is encoded once per task and then looked up.
+`word_ids` has the tokens: the tokenizer drops white space and never looks across it, so each distinct
+part of a word is encoded once per task and then looked up.
 
 Cases: a null or empty text is one piece that holds the end id; repeated rows and ids are packed like
 others; a null id stays null; a text is never cut short, however long (a text without white space
@@ -24,7 +24,6 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
@@ -37,63 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybrook.llm.common import arrow_map, slices
-from tallybrook.llm.textarrays import ranges
+from tallybrook.llm.word_ids import WordEncoder
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOWS = (2048, 1024, 512, 256)
 END_ID = 1
+END = np.array([END_ID], np.uint32)
 STEP_TOKENS = 1 << 18  # of one training step
 SLICE_BYTES = 4 << 20
-CACHED_WORDS = 400_000  # a task's memory of encoded words; it is emptied when full
 TASK_BITS = 36  # a sequence id is the task's number above, its own number below
 
 
-class WordEncoder:
-    """Ids of texts, each distinct word encoded once."""
-
-    def __init__(self, tokenizer: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_str(tokenizer)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._place: dict[bytes, int] = {}
-        self._ids, self._first, self._count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, new: list[bytes]) -> None:
-        encoded = [e.ids for e in self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        count = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self._place.update(zip(new, range(len(self._count), len(self._count) + len(new))))
-        self._first = np.append(self._first, len(self._ids) + np.cumsum(count) - count)
-        self._count = np.append(self._count, count)
-        self._ids = np.append(self._ids, np.fromiter((i for ids in encoded for i in ids), np.uint32, int(count.sum())))
-
-    def ids(self, text: str | None) -> np.ndarray:
-        found = []
-        for words in _word_lists((text or "").encode()):
-            if len(self._place) > CACHED_WORDS:
-                self._forget()
-            new = list(dict.fromkeys(w for w in words if w not in self._place))
-            if new:
-                self._learn(new)
-            at = np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))
-            found.append(self._ids[ranges(self._first[at], self._count[at])])
-        return np.concatenate([*found, [np.uint32(END_ID)]]).astype(np.uint32)
-
-
-def _word_lists(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, those of some megabytes at a time."""
-    start = 0
-    while start < len(text):
-        stop = start + SLICE_BYTES
-        while stop < len(text) and text[stop] not in b" \t\n\x0b\x0c\r":
-            stop += 1
-        yield text[start:stop].split()
-        start = stop
-
-
 @dataclass
 class Piece:
     row: int  # of the document within what is packed together
@@ -221,7 +174,8 @@ def pack(
         encoder, task = WordEncoder(rules), TaskContext.get().partitionId()
         packer = _TaskPacker(task, windows, id_column)
         for batch in slices(batches, max_bytes=SLICE_BYTES):
-            yield from packer.add(batch.column(0), [encoder.ids(t) for t in batch.column("text").to_pylist()])
+            tokens = [np.concatenate([ids, END]) for ids in encoder.ids(batch.column("text").to_pylist())]
+            yield from packer.add(batch.column(0), tokens)
         yield from packer.end()
 
     return arrow_map(rows, run, schema)

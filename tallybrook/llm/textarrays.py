@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -103,3 +104,9 @@ def segment_sums(values: np.ndarray, firsts: np.ndarray, counts: np.ndarray) ->
     if some.any():
         out[some] = np.add.reduceat(values, firsts[some], axis=0)
     return out
+
+
+def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings of these lengths in bytes, which follow each other in `data`."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])

@@ -12,34 +12,34 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallybrook.llm import packing
+from tallybrook.llm import packing, word_ids
 from tallybrook.llm.queries import op13_packing
 
 RULES = open(public_tokenizers.path(packing.TOKENIZER)).read()
 WHOLE = Tokenizer.from_str(RULES)
+OWN = word_ids.WordEncoder(RULES)
 
 
 def plain_ids(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
 
 
-PARTS = st.sampled_from(["a", "B", "é", "é", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "'", "'s", "'re", "Σ", "ς", "7", "<|endoftext|>", "<|", "|>", "😀", "东", "-", "\x00", "İ"])
+PARTS = st.sampled_from(["a", "B", "é", "é", " ", "  ", "\n", "\t", "\x1c", "\x85", " ", "　", "'", "'s", "'re", "Σ", "ς", "7", "<|endoftext|>", "<|", "|>", "😀", "东", "-", "\x00", "İ", "I", "\u0307", "\u0958", ".", ",", "&&", "\u2026", "word", "\u01c5"])
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(PARTS, max_size=20).map("".join), max_size=6))
 def test_words_encoded_once_give_the_ids_of_whole_texts(texts):
-    own = packing.WordEncoder(RULES)
-    for text in texts:
-        assert own.ids(text).tolist() == plain_ids(WHOLE, text)
+    assert [ids.tolist() for ids in OWN.ids(texts)] == [plain_ids(WHOLE, text)[:-1] for text in texts]
 
 
 def test_long_texts_and_a_full_cache(monkeypatch):
-    monkeypatch.setattr(packing, "SLICE_BYTES", 64)
-    monkeypatch.setattr(packing, "CACHED_WORDS", 10)
-    own = packing.WordEncoder(RULES)
+    monkeypatch.setattr(word_ids, "AT_ONCE", 64)
+    monkeypatch.setattr(word_ids, "CACHED_PARTS", 10)
+    own = word_ids.WordEncoder(RULES)
     text = " ".join(f"word{k % 37} Grüße{k}\n" for k in range(400)) + "x" * 300
-    assert own.ids(text).tolist() == plain_ids(WHOLE, text)
+    for texts in ([text], [text, None, text[:50], ""]):
+        assert [ids.tolist() for ids in own.ids(texts)] == [plain_ids(WHOLE, t)[:-1] for t in texts]
 
 
 @settings(max_examples=200, deadline=None)
