@@ -11,7 +11,7 @@ A term that could not reach `min_docs` even if all documents of its chunks were
 joined back. That loses none: the sum bounds its documents in every language from above.
 
 Skew: a chunk of every document is one row per slice; the joins by chunk and by term are plain ones
-whose hot sides adaptive execution splits. Sources are compared as columns of a matrix of kept terms,
+whose hot sides adaptive execution splits. Terms travel as numbers; only kept ones get their text back. Sources are compared as columns of a matrix of kept terms,
 summed per batch of terms, so no term is paired with itself over sources row by row. The table of
 probabilities has a cell per kept term and source of its language, which is what the result is made of.
 
@@ -24,7 +24,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,137 +33,123 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybrook.llm.common import LOWER, UPPER, arrow_map, ascii_lower, salted_left_join, slices, staged
-from tallybrook.llm.textarrays import ranges
+from tallybrook.llm.textarrays import joined, ranges, strings, word_spans
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"  # fixed value
 MIN_DOCS = 30
 TOP_TERMS = 50
 SCALE, PRIOR = 1_000_000_000, 5
 MATRIX_CELLS = 1 << 21  # of probabilities compared at a time
-SLICE_SCHEMA = "slice bigint, chunks array<string>, docs array<int>, langs array<string>, sources array<string>, groups array<int>, lengths array<int>, pairs binary"
-TERM_SCHEMA = "lang string, source string, term string, docs bigint, occurrences bigint"
+PART_SCHEMA = pa.schema(
+    [("slice", pa.int64()), ("at", pa.int32()), ("chunk", pa.string()), ("docs", pa.int32()), ("n_chunks", pa.int64())]
+    + [("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("groups", pa.list_(pa.int32())), ("n_pairs", pa.int64()), ("pairs", pa.binary())]
+)
+PART_DDL = "slice bigint, at int, chunk string, docs int, n_chunks bigint, langs array<string>, sources array<string>, groups array<int>, n_pairs bigint, pairs binary"
+COUNT_DDL = "lang string, source string, term bigint, docs bigint, occurrences bigint"
 
 
 def _squeezed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32, byte by byte of all of them and compressed."""
-    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+    """Whole numbers, byte by byte of all of them, compressed; the high bytes are mostly 0."""
+    return pa.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
 
 def _unsqueezed(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
-
-
-def _slice_row(batch: pa.RecordBatch, slice_id: int) -> dict:
-    """Chunks of a slice, most frequent first, and its pairs (document, chunk) with their counts."""
-    place: dict[bytes, int] = defaultdict(lambda: len(place))
-    found = []
-    for text in batch.column("text").to_pylist():
-        words = text.encode().split()
-        found.append(np.unique(np.fromiter((place[w] for w in words), np.int64, len(words)), return_counts=True))
-    lengths = np.array([len(ids) for ids, _ in found], np.int64)
-    ids = np.concatenate([np.zeros(0, np.int64), *(ids for ids, _ in found)])
-    counts = np.concatenate([np.zeros(0, np.int64), *(counts for _, counts in found)])
-    docs = np.bincount(ids, minlength=len(place))
-    order = np.argsort(-docs, kind="stable")
-    rank = np.empty(len(place), np.int64)
-    rank[order] = np.arange(len(place))
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    by_rank = np.lexsort((rank[ids], rows))
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
+def _slice_rows(batch: pa.RecordBatch, slice_id: int) -> Iterator[pa.RecordBatch]:
+    """One row per distinct chunk, and one that says which document has which chunk how often."""
+    buffer, starts, _ = joined(batch.column("text").to_pylist())
+    begin, end, firsts = word_spans(buffer, starts)
+    words = strings(buffer[ranges(begin, end - begin)], end - begin).dictionary_encode()
+    at, n = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
+    order = np.argsort(-np.bincount(at, minlength=n), kind="stable")  # frequent ones get small numbers
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    pair, count = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(firsts)) * n + rank[at], return_counts=True)
+    docs = np.bincount(pair % max(n, 1), minlength=n)
+
     groups = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
     known = {g: k for k, g in enumerate(dict.fromkeys(groups))}
-    chunks = [w.decode() for w in place]
-    return {
-        "slice": slice_id,
-        "chunks": [chunks[k] for k in order],
-        "docs": docs[order].tolist(),
-        "langs": [lang for lang, _ in known],
-        "sources": [source for _, source in known],
-        "groups": [known[g] for g in groups],
-        "lengths": lengths.tolist(),
-        "pairs": _squeezed(np.concatenate([rank[ids][by_rank], counts[by_rank]])),
-    }
+    summary = {"slice": slice_id, "n_chunks": n, "langs": [lang for lang, _ in known], "sources": [source for _, source in known]}
+    summary |= {"groups": [known[g] for g in groups], "n_pairs": len(pair), "pairs": _squeezed(np.concatenate([np.diff(pair, prepend=0), count]))}
+    yield pa.RecordBatch.from_pylist([summary], PART_SCHEMA)
+    columns = {"slice": pa.array(np.full(n, slice_id)), "at": pa.array(np.arange(n, dtype=np.int32)), "chunk": words.dictionary.take(pa.array(order)), "docs": pa.array(docs.astype(np.int32))}
+    yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in PART_SCHEMA], schema=PART_SCHEMA)
 
 
 def chunk_slices(docs: DataFrame) -> DataFrame:
-    """docs: text, lang, source without nulls. One row per slice."""
-    types = {"bigint": pa.int64(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
-    schema = pa.schema([(name, types[kind]) for name, kind in (part.split() for part in SLICE_SCHEMA.split(", "))])
+    """Rows of slices and of their chunks (`_slice_rows`). docs: text, lang, source without nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for k, batch in enumerate(slices(batches)):
-            yield pa.RecordBatch.from_pylist([_slice_row(batch, (task << 32) + k)], schema)
+            yield from _slice_rows(batch, (task << 32) + k)
 
-    return arrow_map(docs.select("text", "lang", "source"), run, SLICE_SCHEMA)
+    return arrow_map(docs.select("text", "lang", "source"), run, PART_DDL)
 
 
-def chunk_terms(listed: DataFrame, min_docs: int) -> DataFrame:
-    """chunk and its terms, repeated as they stand, without terms that cannot reach `min_docs`.
+def chunk_terms(listed: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Numbered terms (term, name), without those that cannot reach `min_docs`, and rows (chunk, term),
+    repeated as the term stands in the chunk.
 
     listed: chunk and the number of documents that have it, once per slice.
     """
     totals = listed.groupBy("chunk").agg(F.sum("docs").alias("docs"))
-    terms = F.regexp_extract_all(ascii_lower(F.col("chunk")), F.lit(TERM), F.lit(0))
-    tokenized = staged(totals.withColumn("terms", terms).where(F.size("terms") > 0), "chunk-terms")
-    bound = tokenized.select("docs", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("docs").alias("docs"))
-    reachable = bound.where(F.col("docs") >= min_docs).select("term")
-    pairs = tokenized.select("chunk", F.explode("terms").alias("term")).join(reachable, "term")
-    return pairs.groupBy("chunk").agg(F.collect_list("term").alias("terms"))
+    names = F.regexp_extract_all(ascii_lower(F.col("chunk")), F.lit(TERM), F.lit(0))
+    tokenized = staged(totals.withColumn("names", names).where(F.size("names") > 0), "chunk-terms")
+    bound = tokenized.select("docs", F.explode(F.array_distinct("names")).alias("name")).groupBy("name").agg(F.sum("docs").alias("docs"))
+    reachable = bound.where(F.col("docs") >= min_docs).select("name", F.monotonically_increasing_id().alias("term"))
+    reachable = staged(reachable, "reachable-terms")  # so that a number stays what it is
+    return reachable, tokenized.select("chunk", F.explode("names").alias("name")).join(reachable, "name").select("chunk", "term")
 
 
-def _slice_terms(row: dict) -> pa.RecordBatch:
+def _slice_counts(row: pa.RecordBatch) -> pa.RecordBatch:
     """Documents and occurrences per group and term of one slice, from the terms of its chunks."""
-    known, lengths = row["known"], np.array(row["lengths"], np.int64)
-    term_id: dict[str, int] = defaultdict(lambda: len(term_id))
-    flat = np.array([term_id[t] for k in known for t in k["terms"]], np.int64)
-    sizes = np.zeros(row["n_chunks"], np.int64)
-    sizes[[k["at"] for k in known]] = [len(k["terms"]) for k in known]
-    first = np.zeros(row["n_chunks"], np.int64)
-    known_sizes = np.array([len(k["terms"]) for k in known], np.int64)
-    first[[k["at"] for k in known]] = np.cumsum(known_sizes) - known_sizes
-
-    pairs = _unsqueezed(row["pairs"], 2 * int(lengths.sum()))
-    chunk, count = pairs[: len(pairs) // 2], pairs[len(pairs) // 2 :]
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    n_terms, group = len(term_id), np.array(row["groups"], np.int64)
-    terms = flat[ranges(first[chunk], sizes[chunk])]
-    by_doc = np.repeat(doc, sizes[chunk]) * n_terms + terms
-    cell, at = np.unique(by_doc, return_inverse=True)  # a document and one of its terms
-    occurrences = np.bincount(at, np.repeat(count, sizes[chunk]), len(cell)).astype(np.int64)  # below 2^53
-    in_group = group[cell // n_terms] * n_terms + cell % n_terms
-    key, at = np.unique(in_group, return_inverse=True)
-    names = np.array(list(term_id), object)
-    langs, sources = np.array(row["langs"], object), np.array(row["sources"], object)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(langs[key // n_terms], pa.string()),
-            pa.array(sources[key // n_terms], pa.string()),
-            pa.array(names[key % n_terms], pa.string()),
-            pa.array(np.bincount(at, minlength=len(key)), pa.int64()),
-            pa.array(np.bincount(at, occurrences, len(key)).astype(np.int64), pa.int64()),
-        ],
-        ["lang", "source", "term", "docs", "occurrences"],
-    )
-
-
-def term_counts(parts: DataFrame, min_docs: int) -> DataFrame:
-    """lang, source, term, docs, occurrences; terms too rare for every language may be missing.
-
-    parts: what `chunk_slices` gives, written.
+    one = {name: row.column(name)[0] for name in row.schema.names}
+    n_chunks, n_pairs = one["n_chunks"].as_py(), one["n_pairs"].as_py()
+    known = one["known"].values
+    at, term = (known.field(name).to_numpy() for name in ("at", "term"))
+    names, local = np.unique(term, return_inverse=True)
+    sizes = np.bincount(at, minlength=n_chunks)
+    by_chunk = local[np.argsort(at, kind="stable")]
+
+    numbers = _unsqueezed(one["pairs"].as_py(), 2 * n_pairs)
+    pair, count = np.cumsum(numbers[:n_pairs]), numbers[n_pairs:]
+    doc, chunk = pair // n_chunks, pair % n_chunks
+    has = sizes[chunk]
+    cells = np.repeat(doc, has) * len(names) + by_chunk[ranges((np.cumsum(sizes) - sizes)[chunk], has)]
+    cell, at = np.unique(cells, return_inverse=True)  # a document and one of its terms
+    occurrences = np.bincount(at, np.repeat(count, has), len(cell))  # whole numbers below 2^53
+    group = np.asarray(one["groups"].values)[cell // len(names)].astype(np.int64)
+    key, at = np.unique(group * len(names) + cell % len(names), return_inverse=True)
+    group = pa.array(key // len(names))
+    columns = {
+        "lang": one["langs"].values.take(group),
+        "source": one["sources"].values.take(group),
+        "term": pa.array(names[key % len(names)]),
+        "docs": pa.array(np.bincount(at, minlength=len(key))),
+        "occurrences": pa.array(np.bincount(at, occurrences, len(key)).astype(np.int64)),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def term_counts(parts: DataFrame, terms: DataFrame) -> DataFrame:
+    """lang, source, term, docs, occurrences.
+
+    parts: what `chunk_slices` gives, written. terms: rows (chunk, term).
     """
-    listed = parts.select("slice", F.posexplode(F.arrays_zip("chunks", "docs")).alias("at", "chunk"))
-    listed = listed.select("slice", "at", "chunk.chunks", "chunk.docs").withColumnRenamed("chunks", "chunk")
-    found = listed.select("slice", "at", "chunk").join(chunk_terms(listed, min_docs), "chunk")
-    known = found.groupBy("slice").agg(F.collect_list(F.struct("at", "terms")).alias("known"))
-    held = parts.select("slice", F.size("chunks").alias("n_chunks"), "langs", "sources", "groups", "lengths", "pairs")
+    found = parts.where("chunk IS NOT NULL").select("slice", "at", "chunk").join(terms, "chunk")
+    known = found.groupBy("slice").agg(F.collect_list(F.struct("at", "term")).alias("known"))
+    held = parts.where("pairs IS NOT NULL").select("slice", "n_chunks", "langs", "sources", "groups", "n_pairs", "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                yield _slice_terms(batch.slice(k, 1).to_pylist()[0])
+                yield _slice_counts(batch.slice(k, 1))
 
-    counted = arrow_map(held.join(known, "slice"), run, TERM_SCHEMA)
+    counted = arrow_map(held.join(known, "slice"), run, COUNT_DDL)
     return counted.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
 
 
@@ -213,15 +198,17 @@ def audit(
     columns = {"text": text_column, "lang": lang_column, "source": source_column}
     plain = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name) for name, c in columns.items()))
     parts = staged(chunk_slices(plain), "divergence-slices")
-    counts = staged(term_counts(parts, min_docs), "divergence-counts")
+    names, terms = chunk_terms(parts.where("chunk IS NOT NULL").select("chunk", "docs"), min_docs)
+    counts = staged(term_counts(parts, terms), "divergence-counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("total"))
     kept = kept.where(F.col("docs") >= min_docs).drop("docs")
     by_source = counts.groupBy("lang", "term").agg(F.map_from_entries(F.collect_list(F.struct("source", "occurrences"))).alias("by_source"))
-    kept = staged(kept.join(by_source, ["lang", "term"]), "divergence-terms")
+    kept = kept.join(by_source, ["lang", "term"]).join(names, "term").drop("term").withColumnRenamed("name", "term")
+    kept = staged(kept, "divergence-terms")
 
     per_lang = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("total").alias("lang_size"))
     per_group = kept.select("lang", F.explode("by_source").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    groups = parts.select(F.inline(F.arrays_zip(F.col("langs").alias("lang"), F.col("sources").alias("source")))).distinct()
+    groups = parts.where("pairs IS NOT NULL").select(F.inline(F.arrays_zip(F.col("langs").alias("lang"), F.col("sources").alias("source")))).distinct()
     groups = groups.join(per_group, ["lang", "source"], "left").withColumn("size", F.coalesce("size", F.lit(0)))
     in_lang = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "size"))).alias("sources"))
     in_lang = staged(in_lang.join(per_lang, "lang", "left"), "divergence-groups")
