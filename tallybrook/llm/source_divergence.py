@@ -25,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"  # fixed value
 MIN_DOCS = 30
 TOP_TERMS = 50
 SCALE, PRIOR = 1_000_000_000, 5
+SLICE_BYTES, SLICE_CHUNKS = 32 << 20, 1 << 20  # text and distinct chunks from which a slice takes no more
 MATRIX_CELLS = 1 << 21  # of probabilities compared at a time
 PART_SCHEMA = pa.schema(
     [("slice", pa.int64()), ("at", pa.int32()), ("chunk", pa.string()), ("docs", pa.int32()), ("n_chunks", pa.int64())]
@@ -58,34 +60,65 @@ def _unsqueezed(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
-def _slice_rows(batch: pa.RecordBatch, slice_id: int) -> Iterator[pa.RecordBatch]:
-    """One row per distinct chunk, and one that says which document has which chunk how often."""
-    buffer, starts, _ = joined(batch.column("text").to_pylist())
-    begin, end, firsts = word_spans(buffer, starts)
-    words = strings(buffer[ranges(begin, end - begin)], end - begin).dictionary_encode()
-    at, n = words.indices.to_numpy().astype(np.int64), len(words.dictionary)
-    order = np.argsort(-np.bincount(at, minlength=n), kind="stable")  # frequent ones get small numbers
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    pair, count = np.unique(np.repeat(np.arange(batch.num_rows), np.diff(firsts)) * n + rank[at], return_counts=True)
-    docs = np.bincount(pair % max(n, 1), minlength=n)
-
-    groups = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()))
-    known = {g: k for k, g in enumerate(dict.fromkeys(groups))}
-    summary = {"slice": slice_id, "n_chunks": n, "langs": [lang for lang, _ in known], "sources": [source for _, source in known]}
-    summary |= {"groups": [known[g] for g in groups], "n_pairs": len(pair), "pairs": _squeezed(np.concatenate([np.diff(pair, prepend=0), count]))}
-    yield pa.RecordBatch.from_pylist([summary], PART_SCHEMA)
-    columns = {"slice": pa.array(np.full(n, slice_id)), "at": pa.array(np.arange(n, dtype=np.int32)), "chunk": words.dictionary.take(pa.array(order)), "docs": pa.array(docs.astype(np.int32))}
-    yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in PART_SCHEMA], schema=PART_SCHEMA)
+class _Slice:
+    """Documents of one slice, taken in a few megabytes at a time."""
+
+    def __init__(self):
+        self.size, self._chunks, self._groups = 0, {}, {}
+        self._pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._group: list[int] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        texts = batch.column("text").to_pylist()
+        buffer, starts, _ = joined(texts)
+        begin, end, firsts = word_spans(buffer, starts)
+        words = strings(buffer[ranges(begin, end - begin)], end - begin).dictionary_encode()
+        at, n = words.indices.to_numpy().astype(np.int64), max(len(words.dictionary), 1)
+        pair, count = np.unique(np.repeat(np.arange(len(texts)), np.diff(firsts)) * n + at, return_counts=True)
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self._chunks.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(place < 0)
+        place[new] = np.arange(len(self._chunks), len(self._chunks) + len(new))
+        self._chunks.update(zip([distinct[k] for k in new], place[new].tolist()))
+        self._pairs.append((pair // n + len(self._group), place[pair % n], count))
+        for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()):
+            self._group.append(self._groups.setdefault(g, len(self._groups)))
+        self.size += len(buffer)
+
+    def full(self) -> bool:
+        return self.size >= SLICE_BYTES or len(self._chunks) >= SLICE_CHUNKS
+
+    def rows(self, slice_id: int) -> Iterator[pa.RecordBatch]:
+        """One row that says which document has which chunk how often, and one per distinct chunk."""
+        doc, place, count = (np.concatenate(x) for x in zip(*self._pairs))
+        n = len(self._chunks)
+        docs = np.bincount(place, minlength=n)
+        order = np.argsort(-docs, kind="stable")  # frequent ones get small numbers
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        pair = doc * n + rank[place]
+        by_pair = np.argsort(pair)
+        known = {"slice": slice_id, "n_chunks": n, "langs": [lang for lang, _ in self._groups], "sources": [source for _, source in self._groups]}
+        known |= {"groups": self._group, "n_pairs": len(pair), "pairs": _squeezed(np.concatenate([np.diff(pair[by_pair], prepend=0), count[by_pair]]))}
+        yield pa.RecordBatch.from_pylist([known], PART_SCHEMA)
+        chunks = pa.array(list(self._chunks), pa.string()).take(pa.array(order))
+        columns = {"slice": pa.array(np.full(n, slice_id)), "at": pa.array(np.arange(n, dtype=np.int32)), "chunk": chunks, "docs": pa.array(docs[order].astype(np.int32))}
+        yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in PART_SCHEMA], schema=PART_SCHEMA)
 
 
 def chunk_slices(docs: DataFrame) -> DataFrame:
-    """Rows of slices and of their chunks (`_slice_rows`). docs: text, lang, source without nulls."""
+    """Rows of slices and of their chunks (`_Slice.rows`). docs: text, lang, source without nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for k, batch in enumerate(slices(batches)):
-            yield from _slice_rows(batch, (task << 32) + k)
+        slice_id, current = TaskContext.get().partitionId() << 32, None
+        for batch in slices(batches, max_bytes=SLICE_BYTES // 8):
+            current = current or _Slice()
+            current.add(batch)
+            if current.full():
+                yield from current.rows(slice_id)
+                slice_id, current = slice_id + 1, None
+        if current:
+            yield from current.rows(slice_id)
 
     return arrow_map(docs.select("text", "lang", "source"), run, PART_DDL)
 
