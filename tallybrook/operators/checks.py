@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tallybrook.contract import BRONZE_SCHEMA, GOLD_GRAINS, GOLD_SCHEMAS, MONEY_FIELDS
 from tallybrook.functions import money
 from tallybrook.operators import gold
+from tallybrook.sources.tables import read_as_written
 
 ERROR, WARNING = "error", "warning"
 
@@ -50,7 +51,7 @@ def _open(spark: SparkSession, path: str, expected: T.StructType) -> tuple[DataF
     """
     name, problem = path.rstrip("/").rsplit("/", 1)[-1], None
     try:
-        table = spark.read.parquet(path)
+        table = read_as_written(spark, path)
     except AnalysisException as error:
         table, problem = None, error.getCondition() or type(error).__name__
     found = {} if table is None else {field.name: field.dataType for field in table.schema}

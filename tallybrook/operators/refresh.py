@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from tallybrook.operators import silver
 
 
-def affected_days(new: DataFrame, current: DataFrame) -> list[date]:
+def affected_days(new: DataFrame, current: DataFrame, held: DataFrame | None = None) -> list[date]:
     """Days of new rows, and of the Silver rows whose ids they share.
 
-    Reads two columns of Silver, joined by id in the cluster; only the days come to the driver.
+    `held` are days that may hold an id of the new rows, from an index. Without it two columns of all
+    Silver are joined by id in the cluster. Only the days come to the driver.
     """
-    held = current.select("event_id", "event_date").join(new.select("event_id"), "event_id", "left_semi")
+    if held is None:
+        held = current.select("event_id", "event_date").join(new.select("event_id"), "event_id", "left_semi")
     days = new.select("event_date").union(held.select("event_date")).distinct()
     return sorted(row.event_date for row in days.collect())
 

@@ -21,7 +21,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallybrook.operators import checks, gold, refresh, silver
 from tallybrook.plans import session
-from tallybrook.sources import kafka, tables
+from tallybrook.sources import intents, kafka, tables
+from tallybrook.sources.id_index import IdIndex
+from tallybrook.sources.snapshots import VersionedTable
 from tallybrook.streaming import ingest
 
 # Default locations.
@@ -82,13 +84,13 @@ def run_gold(spark: SparkSession, silver_path: str = SILVER_PATH, gold_path: str
     _write_gold(spark, tables.read_silver(spark, silver_path), gold_path, None)
 
 
-def _write_gold(spark: SparkSession, rows: DataFrame, gold_path: str, days: list[date] | None) -> None:
+def _write_gold(spark: SparkSession, rows: DataFrame, gold_path: str, days: list[date] | None, keep_versions: int = 1) -> None:
     """The writes do not depend on each other and are submitted together, so that one fills the cores
     that the last tasks of another leave idle.
     """
 
     def write(item: tuple[str, DataFrame]) -> None:
-        tables.write_gold(item[1], gold_path, item[0], days)
+        tables.write_gold(item[1], gold_path, item[0], days, keep_versions)
 
     with gold.SharedMetrics(rows) as metrics:
         gold_tables = metrics.tables()
@@ -119,32 +121,47 @@ def run_refresh(
     start: str | None = None,
     end: str | None = None,
     exact_payout: bool = False,
+    keep_versions: int = 1,
 ) -> list[date]:
     """Bring Silver and Gold up to date with the Bronze days from `start` to `end`; gives the days
     that were written. The outcome is that of a full rebuild, and running it again changes nothing.
+
+    What is about to change is stored first. A refresh that died is taken up by the next one: its Bronze
+    days are read again, and Gold is written for its days too.
     """
     session.configure(spark)
+    left = intents.pending(spark, silver_path)
+    if left:
+        start, end = left.widened(start, end)
     new = silver.from_bronze(tables.read_bronze(spark, bronze_path, start, end), exact_payout)
     new = new.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        current = tables.read_silver(spark, silver_path)
-        days = refresh.affected_days(new, current)
-        if days:
-            tables.write_silver(refresh.refreshed(new, current, days), silver_path, days)
+        with VersionedTable(spark, silver_path).pinned() as base:
+            current, index = tables.read_silver(spark, silver_path, version=base), IdIndex(spark, silver_path)
+            held = index.days_of(new) if index.covers(base) else None
+            changed = refresh.affected_days(new, current, held)
+            days = sorted({*changed, *(date.fromisoformat(day) for day in (left.days if left else ()))})
+            if days:
+                intents.store(spark, silver_path, intents.Intent(tuple(map(str, days)), start, end))
+            if changed:
+                rows = refresh.refreshed(new, current, changed)
+                tables.write_silver(rows, silver_path, changed, base, new, keep_versions)
     finally:
         new.unpersist()
+    VersionedTable(spark, silver_path).clean(keep_versions)  # the former version is no longer pinned
     if days:
         rows = tables.read_silver(spark, silver_path).filter(F.col("event_date").isin(days))
-        _write_gold(spark, rows, gold_path, days)
+        _write_gold(spark, rows, gold_path, days, keep_versions)
+        intents.clear(spark, silver_path)
     return days
 
 
 def run_compact(spark: SparkSession, ingest_date: str, bronze_path: str = BRONZE_PATH) -> int:
-    """Gather the files of a closed day of Bronze."""
+    """Gather the files of a closed day of Bronze, and those of the quarantine's closed batches."""
     session.configure(spark)
     if ingest_date >= str(spark.sql("SELECT current_date()").first()[0]):
         raise ValueError(f"{ingest_date} is not over")
-    return tables.compact_bronze(spark, bronze_path, ingest_date)
+    return tables.compact_bronze(spark, bronze_path, ingest_date) + tables.compact_quarantine(spark, bronze_path)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -175,6 +192,7 @@ def parser() -> argparse.ArgumentParser:
     refreshing = job("refresh", "bronze", "silver", "gold")
     refreshing.add_argument("--start")
     refreshing.add_argument("--end")
+    refreshing.add_argument("--keep-versions", type=int, default=1)
     for arguments in [stream, job("silver", "bronze", "silver"), job("batch", "bronze", "silver", "gold"), refreshing]:
         arguments.add_argument("--exact-payout", action="store_true")
     job("compact", "bronze").add_argument("--ingest-date", required=True)

@@ -12,7 +12,7 @@ from tallybrook.contract import EVENT_FIELDS
 from tallybrook.functions import rules
 from tallybrook.operators import bronze, checks, gold, reports, silver
 from tallybrook.plans import jobs, session
-from tallybrook.sources import files, kafka, lanes, tables, workspace
+from tallybrook.sources import files, intents, kafka, lanes, tables, workspace
 from tallybrook.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,6 +170,31 @@ def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return _paths_beside(bronze_path)
 
 
+def _refreshed_after_a_death(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The same, where the first refresh got as far as Silver: its Gold is that of before."""
+    bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
+    silver_path, gold_path = _paths_beside(bronze_path)
+    _put_bronze(lanes.lane_p(spark, sf_dir), bronze_path, "2026-01-01", 0)
+    jobs.run_batch(spark, bronze_path, silver_path, gold_path)
+    _put_bronze(lanes.later_copies(spark, sf_dir), bronze_path, "2026-01-02", 1)
+    nowhere = f"{workspace.new_folder(spark, 'tables')}/gold"
+    days = jobs.run_refresh(spark, bronze_path, silver_path, nowhere, start="2026-01-02")
+    intents.store(spark, silver_path, intents.Intent(tuple(map(str, days)), "2026-01-02", None))
+    jobs.run_refresh(spark, bronze_path, silver_path, gold_path, start="2030-01-01")
+    return silver_path, gold_path
+
+
+def silver_former_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver of lane P, read as version 1 after a refresh wrote version 2 over it."""
+    bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
+    silver_path, gold_path = _paths_beside(bronze_path)
+    _put_bronze(lanes.lane_p(spark, sf_dir), bronze_path, "2026-01-01", 0)
+    jobs.run_batch(spark, bronze_path, silver_path, gold_path)
+    _put_bronze(lanes.later_copies(spark, sf_dir), bronze_path, "2026-01-02", 1)
+    jobs.run_refresh(spark, bronze_path, silver_path, gold_path, start="2026-01-02", keep_versions=2)
+    return _silver_columns(tables.read_silver(spark, silver_path, version=1))
+
+
 Build = Callable[[SparkSession, str], tuple[str, str]]
 
 
@@ -242,6 +267,9 @@ _QUERIES: dict[str, Query] = {
     "refresh_seller_metrics": _stored_gold(_refreshed, "seller_metrics"),
     "refresh_city_metrics": _stored_gold(_refreshed, "city_metrics"),
     "refresh_platform_metrics": _stored_gold(_refreshed, "platform_metrics"),
+    "silver_former_version": silver_former_version,
+    "resumed_seller_metrics": _stored_gold(_refreshed_after_a_death, "seller_metrics"),
+    "resumed_platform_metrics": _stored_gold(_refreshed_after_a_death, "platform_metrics"),
     "bronze_damaged": bronze_damaged,
     "gold_damaged": gold_damaged,
 }

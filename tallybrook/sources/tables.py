@@ -1,8 +1,8 @@
 """Bronze, Silver and Gold as partitioned Parquet.
 
-Tables are replaced by renames: a write goes to a fresh folder beside the table, and takes its place
-only when it is complete. A write that fails leaves the table as it was. A job that dies between the
-renames leaves the former data in the folder named `<table>.old-...`.
+Silver and Gold are versioned (`snapshots`): a write becomes visible as a whole, in one commit, and a
+write that fails or dies leaves the table as it was. Bronze grows by the micro-batches of streams, each
+of which owns its folders.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ from tallybrook.contract import (
     QUARANTINE_SCHEMA,
     SILVER_SCHEMA,
 )
+from tallybrook.sources import id_index
+from tallybrook.sources.id_index import IdIndex
+from tallybrook.sources.snapshots import Folders, Version, VersionedTable
 
 
 # The run under which the gathered batches of a closed day are kept.
 COMPACTED = "compacted"
+GATHERED_AT_MOST = 20
 
 # Opening files for a few thousand days keeps no more tasks busy than this, however large the cluster.
 MOST_TASKS_FOR_DAYS = 200
@@ -34,6 +38,17 @@ def quarantine_path(bronze_path: str) -> str:
     return bronze_path.rstrip("/") + "_invalid"
 
 
+def _between(table: DataFrame, date_column: str, start: str | None, end: str | None) -> DataFrame:
+    """`start` and `end` (both included) bound the table's date column; where the table is partitioned
+    by it, other days are not even listed for reading.
+    """
+    if start is not None:
+        table = table.filter(F.col(date_column) >= F.lit(start).cast("date"))
+    if end is not None:
+        table = table.filter(F.col(date_column) <= F.lit(end).cast("date"))
+    return table
+
+
 def _read(
     spark: SparkSession,
     path: str,
@@ -42,17 +57,19 @@ def _read(
     start: str | None,
     end: str | None,
 ) -> DataFrame:
-    """Read with a fixed schema, which needs no footer and works on an empty table.
-
-    `start` and `end` (both included) bound the table's date column; where the table is partitioned
-    by it, other days are not even listed for reading.
-    """
+    """Read with a fixed schema, which needs no footer and works on an empty table."""
     table = spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
-    if start is not None:
-        table = table.filter(F.col(date_column) >= F.lit(start).cast("date"))
-    if end is not None:
-        table = table.filter(F.col(date_column) <= F.lit(end).cast("date"))
-    return table
+    return _between(table, date_column, start, end)
+
+
+def _read_version(
+    spark: SparkSession, path: str, schema: T.StructType, start: str | None, end: str | None, version: Version | int | None
+) -> DataFrame:
+    """The latest version, or the given one, with a fixed schema."""
+    table = VersionedTable(spark, path)
+    resolved = version if isinstance(version, Version) else table.version(version)
+    rows = table.read(schema, resolved).select(*schema.fieldNames())
+    return _between(rows, "event_date", start, end)
 
 
 def read_bronze(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -63,14 +80,21 @@ def read_quarantine(spark: SparkSession, bronze_path: str) -> DataFrame:
     return _read(spark, quarantine_path(bronze_path), QUARANTINE_SCHEMA, "ingest_date", None, None)
 
 
-def read_silver(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    return _read(spark, path, SILVER_SCHEMA, "event_date", start, end)
+def read_silver(
+    spark: SparkSession, path: str, start: str | None = None, end: str | None = None, version: Version | int | None = None
+) -> DataFrame:
+    return _read_version(spark, path, SILVER_SCHEMA, start, end, version)
 
 
 def read_gold(
-    spark: SparkSession, gold_path: str, table: str, start: str | None = None, end: str | None = None
+    spark: SparkSession, gold_path: str, table: str, start: str | None = None, end: str | None = None, version: Version | int | None = None
 ) -> DataFrame:
-    return _read(spark, f"{gold_path}/{table}", GOLD_SCHEMAS[table], "event_date", start, end)
+    return _read_version(spark, f"{gold_path}/{table}", GOLD_SCHEMAS[table], start, end, version)
+
+
+def read_as_written(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version with the columns that its files have."""
+    return VersionedTable(spark, path).read()
 
 
 def _gather_days(table: DataFrame, *order: str) -> DataFrame:
@@ -83,78 +107,51 @@ def _gather_days(table: DataFrame, *order: str) -> DataFrame:
     return table.hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", *order)
 
 
-class _Folders:
-    """Renames in the file system that holds a table."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def exists(self, path: str) -> bool:
-        return self._files.exists(self._path(path))
-
-    def move(self, source: str, target: str) -> None:
-        self._files.mkdirs(self._path(target).getParent())
-        if not self._files.rename(self._path(source), self._path(target)):
-            raise OSError(f"{source} could not be renamed to {target}")
-
-    def remove(self, path: str) -> None:
-        self._files.delete(self._path(path), True)
-
-    def matching(self, pattern: str) -> list[str]:
-        return [str(status.getPath().toString()) for status in self._files.globStatus(self._path(pattern)) or []]
-
-
 def _beside(path: str, label: str) -> str:
     return f"{path.rstrip('/')}.{label}-{uuid.uuid4().hex}"
 
 
-def _write_fresh(table: DataFrame, path: str) -> str:
-    """Write to a fresh folder beside `path`; a write that fails leaves nothing."""
-    fresh = _beside(path, "new")
-    try:
-        table.write.partitionBy("event_date").parquet(fresh)
-    except BaseException:
-        _Folders(table.sparkSession, path).remove(fresh)
-        raise
-    return fresh
-
-
-def _replace(table: DataFrame, path: str) -> None:
-    fresh, former = _write_fresh(table, path), _beside(path, "old")
-    folders = _Folders(table.sparkSession, path)
-    if folders.exists(path):
-        folders.move(path, former)
-    folders.move(fresh, path)
-    folders.remove(former)
-
-
-def _replace_days(table: DataFrame, path: str, days: list[date]) -> None:
-    """Replace the given days, those without rows included; other days stay untouched."""
-    fresh, former = _write_fresh(table, path), _beside(path, "old")
-    folders = _Folders(table.sparkSession, path)
-    for day in days:
-        part = f"event_date={day}"
-        if folders.exists(f"{path}/{part}"):
-            folders.move(f"{path}/{part}", f"{former}/{part}")
-        if folders.exists(f"{fresh}/{part}"):
-            folders.move(f"{fresh}/{part}", f"{path}/{part}")
-    folders.remove(fresh)
-    folders.remove(former)
-
-
-def _put(table: DataFrame, path: str, days: list[date] | None) -> None:
-    if days is None:
-        _replace(table, path)
-    else:
-        _replace_days(table, path, days)
+def _put(rows: DataFrame, path: str, days: list[date] | None, base: Version | None, keep_versions: int) -> Version:
+    """Replace a table, or the given days of it, those without rows included, in one commit.
+
+    `base` is the version that the rows were computed from, if any; a commit since then that changed the
+    same days makes this one fail.
+    """
+    table = VersionedTable(rows.sparkSession, path)
+    base = base or table.version()
+    values = None if days is None else [str(day) for day in days]
+    version = table.commit(table.write(rows), base, values)
+    table.clean(keep_versions)
+    return version
 
 
-def write_silver(silver: DataFrame, path: str, days: list[date] | None = None) -> None:
+def write_silver(
+    silver: DataFrame,
+    path: str,
+    days: list[date] | None = None,
+    base: Version | None = None,
+    new: DataFrame | None = None,
+    keep_versions: int = 1,
+) -> Version:
     """Replace Silver, or some days of it. Ordered by type within a day, so that Gold can skip row
     groups without captures.
+
+    The index of ids is brought up to date before the commit: from all rows, or for some days from the
+    `new` ones among them. Without these it ends, and the next full write starts it again.
     """
-    _put(_gather_days(silver, "event_type"), path, days)
+    spark = silver.sparkSession
+    table, index = VersionedTable(spark, path), IdIndex(spark, path)
+    base = base or table.version()
+    folders = table.write(_gather_days(silver, "event_type"))
+    note = {}
+    if days is None:
+        note = {id_index.EPOCH: index.rebuild(table.read(SILVER_SCHEMA, Version(1, tuple(folders), tuple(table.plain_folders(Version(0))))))}
+    elif new is not None and index.covers(base):
+        index.add(new)
+        note = {id_index.EPOCH: base.note[id_index.EPOCH]}
+    version = table.commit(folders, base, None if days is None else [str(day) for day in days], note)
+    table.clean(keep_versions)
+    return version
 
 
 def _spread_days(table: DataFrame) -> DataFrame:
@@ -168,11 +165,13 @@ def _spread_days(table: DataFrame) -> DataFrame:
     return table.repartition(min(cores, MOST_TASKS_FOR_DAYS), F.xxhash64("event_date"))
 
 
-def write_gold(table: DataFrame, gold_path: str, name: str, days: list[date] | None = None) -> None:
+def write_gold(
+    table: DataFrame, gold_path: str, name: str, days: list[date] | None = None, keep_versions: int = 1
+) -> Version:
     """Replace one Gold table, or some days. A day has one row or one per city, but may have very many
     sellers."""
     arrange = _gather_days if "seller_id" in GOLD_GRAINS[name] else _spread_days
-    _put(arrange(table), f"{gold_path}/{name}", days)
+    return _put(arrange(table), f"{gold_path}/{name}", days, None, keep_versions)
 
 
 def write_batch(rows: DataFrame, path: str, run_id: str, batch_id: int, *partitions: str) -> None:
@@ -190,36 +189,66 @@ def write_batch(rows: DataFrame, path: str, run_id: str, batch_id: int, *partiti
     )
 
 
-def _batch_of(folder: str) -> tuple[str, str, int]:
-    """ingest_date, run_id and batch_id of a batch's folder."""
-    day, run, batch = (part.partition("=")[2] for part in folder.rstrip("/").rsplit("/", 3)[1:])
-    return day, run, int(batch)
+def _gather(spark: SparkSession, path: str, schema: T.StructType, folders: list[str], target: str, drop: list[str]) -> None:
+    """Write the rows of some batches' folders to one folder in their place."""
+    files, fresh, former = Folders(spark, path), _beside(path, "new"), _beside(path, "old")
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*folders)
+    rows.drop(*drop).hint("rebalance").write.parquet(fresh)
+    for k, folder in enumerate(folders):
+        files.move(folder, f"{former}/{k}")
+    files.move(fresh, target)
+    files.remove(former)
+
+
+def _last_batches(folders: list[str]) -> dict[str, int]:
+    last: dict[str, int] = {}
+    for folder in folders:
+        run, batch = _run_and_batch(folder)
+        last[run] = max(batch, last.get(run, batch))
+    return last
+
+
+def _run_and_batch(folder: str) -> tuple[str, int]:
+    run, batch = (part.partition("=")[2] for part in folder.rstrip("/").rsplit("/", 2)[1:])
+    return run, int(batch)
 
 
 def compact_bronze(spark: SparkSession, path: str, ingest_date: str) -> int:
     """Gather the micro-batches of a closed day into few files; gives the number of folders gathered.
 
     The last batch of each stream stays as it is, for it alone may be replayed, which must replace it.
-    Only folder names are listed, those of this day and of later ones.
+    Of earlier days only the names are listed, of this day and later ones the names of their batches.
     """
-    folders = _Folders(spark, path)
-    last: dict[str, int] = {}
-    todays = []
-    for folder in folders.matching(f"{path}/ingest_date=*/run_id=*/batch_id=*"):
-        day, run, batch = _batch_of(folder)
-        if day >= ingest_date:
-            last[run] = max(batch, last.get(run, batch))
-        if day == ingest_date:
-            todays.append((folder, run, batch))
-    closed = [folder for folder, run, batch in todays if run == COMPACTED or batch < last[run]]
+    folders = Folders(spark, path)
+    days = [name for name in folders.names(path) if name.startswith("ingest_date=") and name >= f"ingest_date={ingest_date}"]
+    batches = {day: folders.matching(f"{path}/{day}/run_id=*/batch_id=*") for day in days}
+    last = _last_batches([folder for found in batches.values() for folder in found])
+    closed = []
+    for folder in batches.get(f"ingest_date={ingest_date}", []):
+        run, batch = _run_and_batch(folder)
+        if run == COMPACTED or batch < last[run]:
+            closed.append(folder)
+    if len(closed) < 2:
+        return 0
+    target = f"{path}/ingest_date={ingest_date}/run_id={COMPACTED}/batch_id=0"
+    _gather(spark, path, BRONZE_SCHEMA, closed, target, ["ingest_date"])
+    return len(closed)
+
+
+def compact_quarantine(spark: SparkSession, bronze_path: str) -> int:
+    """Gather the closed micro-batches of the quarantine; gives the number of folders gathered.
+
+    Rejected rows are few, so their batches are not kept by day. What was gathered before stays; each
+    call leaves one folder more, and gathers these too once there are `GATHERED_AT_MOST`.
+    """
+    path = quarantine_path(bronze_path)
+    folders = Folders(spark, path).matching(f"{path}/run_id=*/batch_id=*")
+    last = _last_batches(folders)
+    gathered = [folder for folder in folders if _run_and_batch(folder)[0] == COMPACTED]
+    closed = [f for f in folders if f not in gathered and _run_and_batch(f)[1] < last[_run_and_batch(f)[0]]]
     if len(closed) < 2:
         return 0
-    fresh, former = _beside(path, "new"), _beside(path, "old")
-    rows = spark.read.schema(BRONZE_SCHEMA).option("basePath", path).parquet(*closed)
-    rows.drop("ingest_date").hint("rebalance").write.parquet(fresh)
-    for folder in closed:
-        _, run, batch = _batch_of(folder)
-        folders.move(folder, f"{former}/run_id={run}/batch_id={batch}")
-    folders.move(fresh, f"{path}/ingest_date={ingest_date}/run_id={COMPACTED}/batch_id=0")
-    folders.remove(former)
+    closed += gathered if len(gathered) >= GATHERED_AT_MOST else []
+    number = 1 + max((_run_and_batch(f)[1] for f in gathered), default=-1)
+    _gather(spark, path, QUARANTINE_SCHEMA, closed, f"{path}/run_id={COMPACTED}/batch_id={number}", [])
     return len(closed)
