@@ -56,9 +56,22 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+# Columns that operators add for their tasks and leave out of what these give back.
+OWN_COLUMNS = ("__text", "__seed")
+
+
 def schema_with(df: DataFrame, added: str) -> str:
-    """The columns of `df` but those that begin with two underscores, and `added`."""
-    return ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes if not n.startswith("__")), added])
+    """The columns of `df` but the operator's own, and `added`."""
+    return ", ".join([*(f"`{n.replace('`', '``')}` {t}" for n, t in df.dtypes if n not in OWN_COLUMNS), added])
+
+
+def with_plain_names(docs: DataFrame, known: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`run` on `docs`, where the columns not in `known` have names that clash with nothing; the result,
+    which has the same columns, gets the names back."""
+    if len(set(docs.columns)) < len(docs.columns):
+        raise ValueError(f"columns share a name: {docs.columns}")
+    renamed = docs.toDF(*(c if c in known else f"extra_{k}_" for k, c in enumerate(docs.columns)))
+    return run(renamed).toDF(*docs.columns)
 
 
 def words(text: Column) -> Column:

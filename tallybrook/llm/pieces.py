@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import arrow_map, schema_with, slices
+from tallybrook.llm.common import OWN_COLUMNS, arrow_map, schema_with, slices
 from tallybrook.llm.textarrays import mixed, ranges
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -304,8 +304,8 @@ def encode(docs: DataFrame, key: Column, keep: list[str | Column], vocabulary: V
             ids, ends = encode_batch(vocabulary, texts, batch.column("__seed").to_numpy())
             null = pa.array([t is None for t in texts])
             pieces = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=null)
-            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if not n.startswith("__")]
-            names = [n for n in batch.schema.names if not n.startswith("__")]
+            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in OWN_COLUMNS]
+            names = [n for n in batch.schema.names if n not in OWN_COLUMNS]
             lossless = pa.array(_lossless(vocabulary, texts, ids, ends))
             yield pa.RecordBatch.from_arrays([*columns, pieces, lossless], names=[*names, "pieces", "lossless"])
 

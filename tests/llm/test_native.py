@@ -161,3 +161,47 @@ def test_hamming_search_of_few_rows(spark):
     assert hamming_search.search(two.limit(0), F.lit(True)).count() == 0
     vectors = spark.createDataFrame([(0, [0.5, -1.0, None]), (1, None), (2, [])], "vec_id bigint, v array<float>")
     assert rows_of(vectors.select(hamming_search.sign_code(F.col("v")).alias("c"))) == [(0,), (1,), (None,)]
+
+
+def repeats_tables(spark):
+    """Equal rows, rows without ids, and one id with half of a source."""
+    words = " ".join(f"w{k}" for k in range(10))
+    plain = [(k, f"a{k} b c d e f g h i j", f"s{k % 3}") for k in range(60)]
+    yield "equal rows", [*plain, *[(7, words, "hot")] * 300]
+    yield "no ids", [*plain, *[(None, f"n{k} b c d e f g h i j", "hot") for k in range(300)]]
+    yield "no ids, equal texts", [*plain, *[(None, words, "hot")] * 300]
+    yield "one id", [*plain, *[(7, " ".join(["w"] * (5 + k % 7)), "hot") for k in range(150)], *[(1000 + k, words, "hot") for k in range(150)]]
+
+
+@pytest.mark.parametrize("bin_docs", [20, 4000])
+def test_mix_of_repeated_and_null_ids(spark, database, monkeypatch, bin_docs):
+    monkeypatch.setattr(mixing, "BIN_DOCS", bin_docs)
+    for name, rows in repeats_tables(spark):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+        keyed = mixing._keyed(docs, "doc_id", "text", "source").collect()
+        target, taken = plain_mix([(r["doc_id"], r["__size"], r["source"], r["__key"]) for r in keyed])
+        found = mixing.mix(docs)
+        assert rows_of(found, "doc_id", "size", "source", "taken") == sorted(taken, key=repr), name
+        sums = defaultdict(int)
+        for _, _, source, n in taken:
+            sums[source] += n
+        largest = max(size for _, size, *_ in taken)
+        assert all(abs(sums[s] - target[s]) <= largest for s in target), name
+        local = database.cursor()
+        local.register("documents_here", docs.toArrow())
+        expected = local.execute(mixing.oracle("documents_here")).fetchall()
+        assert rows_of(found, "doc_id", "size", "source_size", "target", "taken") == sorted(expected, key=repr), name
+        mixed = mixing.mixed_documents(docs.withColumn("a.b", F.lit(1)).withColumn("__id", F.lit("x")).withColumn("__size", F.lit(2)))
+        assert mixed.columns == ["doc_id", "text", "source", "a.b", "__id", "__size"]
+        sizes = defaultdict(int)
+        for r in mixed.collect():
+            sizes[r["source"]] += len(r["text"].split())
+        assert sizes == sums, name
+
+
+def test_equal_rows_at_the_border_are_numbered_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BIN_DOCS", 50)
+    rows = spark.range(1000).select((F.col("id") % 2).cast("string").alias("__source"), F.lit(500).cast("bigint").alias("__border_rows"))
+    found = mixing._numbered(rows.repartition(4)).collect()
+    for source in "01":
+        assert sorted(r["__number"] for r in found if r["__source"] == source) == list(range(1, 501))
