@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.common import WHITE_SPACE, let, salted_left_join, staged, words
+from tallybrook.llm.common import WHITE_SPACE, let, salted_left_join, staged, with_plain_names, words
 
 MAX_RATE = 0.8
 MIN_WORDS = 50
@@ -103,7 +103,11 @@ def kept_documents(docs: DataFrame, text_column: str = "text", host_column: str
     Documents are written once with their base verdict, which costs less than to judge them twice;
     the hosts' verdicts are written too, so that Spark knows their size and broadcasts them or not.
     """
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    return with_plain_names(docs, [text_column, host_column], lambda rows: _kept_documents(rows, text_column, host_column))
+
+
+def _kept_documents(docs: DataFrame, text_column: str, host_column: str) -> DataFrame:
+    whole = F.struct(*docs.columns).alias("doc")
     flagged = base_features(docs, [whole, F.col(host_column).alias("host")], text_column).select("doc", "host", "base_failed")
     flagged = staged(flagged, "quality-documents")
     verdicts = staged(host_verdicts(flagged).select("host", "rejected"), "quality-hosts")
