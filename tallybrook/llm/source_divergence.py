@@ -57,7 +57,7 @@ def _squeezed(numbers: np.ndarray) -> bytes:
 
 def _unsqueezed(data: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
 class _Slice:
@@ -80,7 +80,7 @@ class _Slice:
         new = np.flatnonzero(place < 0)
         place[new] = np.arange(len(self._chunks), len(self._chunks) + len(new))
         self._chunks.update(zip([distinct[k] for k in new], place[new].tolist()))
-        self._pairs.append((pair // n + len(self._group), place[pair % n], count))
+        self._pairs.append(tuple(x.astype(np.int32) for x in (pair // n + len(self._group), place[pair % n], count)))
         for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist()):
             self._group.append(self._groups.setdefault(g, len(self._groups)))
         self.size += len(buffer)
@@ -96,7 +96,7 @@ class _Slice:
         order = np.argsort(-docs, kind="stable")  # frequent ones get small numbers
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
-        pair = doc * n + rank[place]
+        pair = doc.astype(np.int64) * n + rank[place]
         by_pair = np.argsort(pair)
         known = {"slice": slice_id, "n_chunks": n, "langs": [lang for lang, _ in self._groups], "sources": [source for _, source in self._groups]}
         known |= {"groups": self._group, "n_pairs": len(pair), "pairs": _squeezed(np.concatenate([np.diff(pair[by_pair], prepend=0), count[by_pair]]))}
@@ -149,10 +149,11 @@ def _slice_counts(row: pa.RecordBatch) -> pa.RecordBatch:
     by_chunk = local[np.argsort(at, kind="stable")]
 
     numbers = _unsqueezed(one["pairs"].as_py(), 2 * n_pairs)
-    pair, count = np.cumsum(numbers[:n_pairs]), numbers[n_pairs:]
-    doc, chunk = pair // n_chunks, pair % n_chunks
+    pair, count = np.cumsum(numbers[:n_pairs]), numbers[n_pairs:].astype(np.int32)
+    doc, chunk = (pair // n_chunks).astype(np.int32), (pair % n_chunks).astype(np.int32)
+    del numbers, pair
     has = sizes[chunk]
-    cells = np.repeat(doc, has) * len(names) + by_chunk[ranges((np.cumsum(sizes) - sizes)[chunk], has)]
+    cells = np.repeat(doc, has).astype(np.int64) * len(names) + by_chunk[ranges((np.cumsum(sizes) - sizes)[chunk], has)]
     cell, at = np.unique(cells, return_inverse=True)  # a document and one of its terms
     occurrences = np.bincount(at, np.repeat(count, has), len(cell))  # whole numbers below 2^53
     group = np.asarray(one["groups"].values)[cell // len(names)].astype(np.int64)
