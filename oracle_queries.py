@@ -344,6 +344,9 @@ SELECT event_date, city, {_OUTCOMES} FROM silver GROUP BY event_date, city""",
     "silver_former_version": f"{_SILVER_P} SELECT {_EVENT_COLUMNS}, event_date FROM silver",
     "resumed_seller_metrics": f"{_SILVER_C} {_SELLER_METRICS}",
     "resumed_platform_metrics": f"{_SILVER_C} {_PLATFORM_METRICS}",
+    "states_seller_metrics": f"{_SILVER_C} {_SELLER_METRICS}",
+    "states_city_metrics": f"{_SILVER_C} {_CITY_METRICS}",
+    "states_platform_metrics": f"{_SILVER_C} {_PLATFORM_METRICS}",
     "bronze_damaged": _check("bronze_readable", "1", "error", "= 1")
     + " UNION ALL "
     + _check("bronze_wrong_columns", "1", "error"),

@@ -1,6 +1,6 @@
 """Gold: daily seller, city and platform metrics over captured payments.
 
-All sums are whole numbers until the last step, so a coarser grain can be built from a finer one
+All sums are exact decimals until the last step, so a coarser grain can be built from a finer one
 without changing a cent. Distinct counts are built the same way: first one row per (day, key), which
 is combined in the map tasks and spread over all reducers even if one key or day holds most rows,
 then a count of those rows.
@@ -58,13 +58,13 @@ def _platform_from(seller_sums: DataFrame, payments: DataFrame) -> DataFrame:
     The branches meet in a union and a last sum over a few rows per day. A join on the day would do,
     but makes one branch wait for the other to prune its days, which are the same.
     """
+    return _platform_of(seller_sums, payments.select("event_date", "customer_id").distinct())
+
+
+def _platform_of(seller_sums: DataFrame, customers: DataFrame) -> DataFrame:
+    """customers: one row per day and customer."""
     totals = _coarser(seller_sums, ["event_date"], F.count("seller_id").alias("active_sellers"))
-    customers = (
-        payments.select("event_date", "customer_id")
-        .distinct()
-        .groupBy("event_date")
-        .agg(F.count("customer_id").alias("active_customers"))
-    )
+    customers = customers.groupBy("event_date").agg(F.count("customer_id").alias("active_customers"))
     both = totals.unionByName(customers, allowMissingColumns=True)
     keys = ["active_sellers", "active_customers"]
     return _finish(
@@ -114,3 +114,13 @@ class SharedMetrics:
             "city_metrics": _city_from(self._sums),
             "platform_metrics": _platform_from(sellers, self._payments),
         }
+
+
+def from_states(sums: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
+    """The three tables from stored states: sums per day, city and seller, and one row per day and customer."""
+    sellers = _per_seller(sums)
+    return {
+        "seller_metrics": _finish(sellers, "seller_metrics"),
+        "city_metrics": _city_from(sums),
+        "platform_metrics": _platform_of(sellers, customers),
+    }

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallybrook.operators import checks, gold, refresh, silver
+from tallybrook.operators import states as gold_states
 from tallybrook.plans import session
 from tallybrook.sources import intents, kafka, tables
 from tallybrook.sources.id_index import IdIndex
-from tallybrook.sources.snapshots import VersionedTable
+from tallybrook.sources.snapshots import Version, VersionedTable
 from tallybrook.streaming import ingest
 
 # Default locations.
@@ -78,10 +79,47 @@ def run_silver(
     tables.write_silver(rows, silver_path)
 
 
-def run_gold(spark: SparkSession, silver_path: str = SILVER_PATH, gold_path: str = GOLD_PATH) -> None:
-    """Rebuild the three Gold tables from all of Silver."""
+def run_gold(
+    spark: SparkSession, silver_path: str = SILVER_PATH, gold_path: str = GOLD_PATH, states: bool = False
+) -> None:
+    """Rebuild the three Gold tables from all of Silver; with `states`, those that a refresh changes by
+    deltas are built too, and Gold from them.
+    """
     session.configure(spark)
-    _write_gold(spark, tables.read_silver(spark, silver_path), gold_path, None)
+    if not states:
+        _write_gold(spark, tables.read_silver(spark, silver_path), gold_path, None)
+        return
+    with VersionedTable(spark, silver_path).pinned() as version:
+        rows = tables.read_silver(spark, silver_path, version=version)
+        tables.GoldStates(spark, gold_path).write(gold_states.of(rows), version)
+    _write_gold_from_states(spark, gold_path, None)
+
+
+def _write_gold_from_states(spark: SparkSession, gold_path: str, days: list[date] | None, keep_versions: int = 1) -> None:
+    stored = tables.GoldStates(spark, gold_path).read(days)
+    _write_all(spark, gold.from_states(stored["sellers"], stored["customers"]), gold_path, days, keep_versions)
+
+
+def _change_states(
+    spark: SparkSession, gold_path: str, silver_path: str, base: Version, current: DataFrame, new: DataFrame, changed: list[date]
+) -> None:
+    """Bring the states from the version `base` of Silver, of which `current` are the rows, to the latest,
+    which has the rows `new`; or build them anew if they stand for another version."""
+    stored, latest = tables.GoldStates(spark, gold_path), VersionedTable(spark, silver_path).version()
+    if not stored.stand_for(base):
+        stored.write(gold_states.of(tables.read_silver(spark, silver_path, version=latest)), latest)
+        return
+    if not changed:
+        return
+    out = current.filter(F.col("event_date").isin(changed)).join(new.select("event_id"), "event_id", "left_semi")
+    into = silver.keep_latest(out.unionByName(new))
+    if out.unionByName(into).filter(gold_states.has_beyond()).isEmpty():
+        change, before = gold_states.delta(out, into), stored.read(changed)
+        after = {name: gold_states.changed(before[name], change[name], name) for name in before}
+    else:
+        rows = tables.read_silver(spark, silver_path, version=latest)
+        after = gold_states.of(rows.filter(F.col("event_date").isin(changed)))
+    stored.write(after, latest, changed)
 
 
 def _write_gold(spark: SparkSession, rows: DataFrame, gold_path: str, days: list[date] | None, keep_versions: int = 1) -> None:
@@ -89,13 +127,18 @@ def _write_gold(spark: SparkSession, rows: DataFrame, gold_path: str, days: list
     that the last tasks of another leave idle.
     """
 
+    with gold.SharedMetrics(rows) as metrics:
+        _write_all(spark, metrics.tables(), gold_path, days, keep_versions)
+
+
+def _write_all(
+    spark: SparkSession, gold_tables: dict[str, DataFrame], gold_path: str, days: list[date] | None, keep_versions: int
+) -> None:
     def write(item: tuple[str, DataFrame]) -> None:
         tables.write_gold(item[1], gold_path, item[0], days, keep_versions)
 
-    with gold.SharedMetrics(rows) as metrics:
-        gold_tables = metrics.tables()
-        with ThreadPoolExecutor(len(gold_tables)) as writers:
-            list(writers.map(inheritable_thread_target(spark)(write), gold_tables.items()))
+    with ThreadPoolExecutor(len(gold_tables)) as writers:
+        list(writers.map(inheritable_thread_target(spark)(write), gold_tables.items()))
 
 
 def run_batch(
@@ -146,12 +189,18 @@ def run_refresh(
             if changed:
                 rows = refresh.refreshed(new, current, changed)
                 tables.write_silver(rows, silver_path, changed, base, new, keep_versions)
+            with_states = tables.GoldStates(spark, gold_path).exist()
+            if days and with_states:
+                _change_states(spark, gold_path, silver_path, base, current, new, changed)
     finally:
         new.unpersist()
     VersionedTable(spark, silver_path).clean(keep_versions)  # the former version is no longer pinned
     if days:
-        rows = tables.read_silver(spark, silver_path).filter(F.col("event_date").isin(days))
-        _write_gold(spark, rows, gold_path, days, keep_versions)
+        if with_states:
+            _write_gold_from_states(spark, gold_path, days, keep_versions)
+        else:
+            rows = tables.read_silver(spark, silver_path).filter(F.col("event_date").isin(days))
+            _write_gold(spark, rows, gold_path, days, keep_versions)
         intents.clear(spark, silver_path)
     return days
 
@@ -188,7 +237,7 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--min-partitions", type=int)
     stream.add_argument("--available-now", action="store_true")
     stream.add_argument("--processing-time")
-    job("gold", "silver", "gold")
+    job("gold", "silver", "gold").add_argument("--states", action="store_true")
     refreshing = job("refresh", "bronze", "silver", "gold")
     refreshing.add_argument("--start")
     refreshing.add_argument("--end")

@@ -184,6 +184,18 @@ def _refreshed_after_a_death(spark: SparkSession, sf_dir: str) -> tuple[str, str
     return silver_path, gold_path
 
 
+def _changed_by_deltas(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The same, with Gold from states that the refresh changes by what goes and what comes."""
+    bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
+    silver_path, gold_path = _paths_beside(bronze_path)
+    _put_bronze(lanes.lane_p(spark, sf_dir), bronze_path, "2026-01-01", 0)
+    jobs.run_silver(spark, bronze_path, silver_path)
+    jobs.run_gold(spark, silver_path, gold_path, states=True)
+    _put_bronze(lanes.later_copies(spark, sf_dir), bronze_path, "2026-01-02", 1)
+    jobs.run_refresh(spark, bronze_path, silver_path, gold_path, start="2026-01-02")
+    return silver_path, gold_path
+
+
 def silver_former_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver of lane P, read as version 1 after a refresh wrote version 2 over it."""
     bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
@@ -270,6 +282,9 @@ _QUERIES: dict[str, Query] = {
     "silver_former_version": silver_former_version,
     "resumed_seller_metrics": _stored_gold(_refreshed_after_a_death, "seller_metrics"),
     "resumed_platform_metrics": _stored_gold(_refreshed_after_a_death, "platform_metrics"),
+    "states_seller_metrics": _stored_gold(_changed_by_deltas, "seller_metrics"),
+    "states_city_metrics": _stored_gold(_changed_by_deltas, "city_metrics"),
+    "states_platform_metrics": _stored_gold(_changed_by_deltas, "platform_metrics"),
     "bronze_damaged": bronze_damaged,
     "gold_damaged": gold_damaged,
 }

@@ -21,6 +21,7 @@ from tallybrook.contract import (
     QUARANTINE_SCHEMA,
     SILVER_SCHEMA,
 )
+from tallybrook.operators import states
 from tallybrook.sources import id_index
 from tallybrook.sources.id_index import IdIndex
 from tallybrook.sources.snapshots import Folders, Version, VersionedTable
@@ -252,3 +253,32 @@ def compact_quarantine(spark: SparkSession, bronze_path: str) -> int:
     number = 1 + max((_run_and_batch(f)[1] for f in gathered), default=-1)
     _gather(spark, path, QUARANTINE_SCHEMA, closed, f"{path}/run_id={COMPACTED}/batch_id={number}", [])
     return len(closed)
+
+
+class GoldStates:
+    """The stored states of Gold (`operators.states`), beside its tables.
+
+    Each state names the version of Silver that it stands for. Where the two do not agree with each
+    other and with Silver, they must be built anew.
+    """
+
+    def __init__(self, spark: SparkSession, gold_path: str):
+        self._tables = {name: VersionedTable(spark, f"{gold_path}/_states/{name}") for name in states.SCHEMAS}
+
+    def exist(self) -> bool:
+        return all(table.version().number for table in self._tables.values())
+
+    def stand_for(self, silver: Version) -> bool:
+        return all(table.version().note.get("silver") == [silver.number, *silver.folders] for table in self._tables.values())
+
+    def read(self, days: list[date] | None = None) -> dict[str, DataFrame]:
+        values = None if days is None else [str(day) for day in days]
+        return {name: table.read(states.SCHEMAS[name], table.version(), values) for name, table in self._tables.items()}
+
+    def write(self, rows: dict[str, DataFrame], silver: Version, days: list[date] | None = None) -> None:
+        """Replace the states, or those of some days, by those of a version of Silver."""
+        values = None if days is None else [str(day) for day in days]
+        for name, table in self._tables.items():
+            base = table.version()
+            table.commit(table.write(_gather_days(rows[name])), base, values, {"silver": [silver.number, *silver.folders]})
+            table.clean()
