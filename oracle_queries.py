@@ -347,6 +347,12 @@ SELECT event_date, city, {_OUTCOMES} FROM silver GROUP BY event_date, city""",
     "states_seller_metrics": f"{_SILVER_C} {_SELLER_METRICS}",
     "states_city_metrics": f"{_SILVER_C} {_CITY_METRICS}",
     "states_platform_metrics": f"{_SILVER_C} {_PLATFORM_METRICS}",
+    "distinct_by_month_and_city": f"""{_SILVER_P}
+SELECT strftime(event_date, '%Y-%m') AS month, city, count(DISTINCT seller_id) AS active_sellers, count(DISTINCT customer_id) AS active_customers
+FROM silver WHERE event_type = 'payment_captured' GROUP BY ALL""",
+    "distinct_over_all_days": f"""{_SILVER_P}
+SELECT city, count(DISTINCT seller_id) AS active_sellers, count(DISTINCT customer_id) AS active_customers
+FROM silver WHERE event_type = 'payment_captured' GROUP BY city""",
     "bronze_damaged": _check("bronze_readable", "1", "error", "= 1")
     + " UNION ALL "
     + _check("bronze_wrong_columns", "1", "error"),

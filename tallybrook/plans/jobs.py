@@ -205,6 +205,14 @@ def run_refresh(
     return days
 
 
+def run_keys(spark: SparkSession, silver_path: str = SILVER_PATH, gold_path: str = GOLD_PATH, days: list[date] | None = None) -> None:
+    """Bring the key sets for distinct counts up to date with Silver, or with its given days."""
+    session.configure(spark)
+    rows = tables.read_silver(spark, silver_path)
+    rows = rows if days is None else rows.filter(F.col("event_date").isin(days))
+    tables.KeySets(spark, gold_path).update(rows, days)
+
+
 def run_compact(spark: SparkSession, ingest_date: str, bronze_path: str = BRONZE_PATH) -> int:
     """Gather the files of a closed day of Bronze, and those of the quarantine's closed batches."""
     session.configure(spark)
@@ -238,6 +246,7 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--available-now", action="store_true")
     stream.add_argument("--processing-time")
     job("gold", "silver", "gold").add_argument("--states", action="store_true")
+    job("keys", "silver", "gold")
     refreshing = job("refresh", "bronze", "silver", "gold")
     refreshing.add_argument("--start")
     refreshing.add_argument("--end")
@@ -257,6 +266,7 @@ def main(arguments: list[str] | None = None) -> None:
         "gold": run_gold,
         "batch": run_batch,
         "refresh": run_refresh,
+        "keys": run_keys,
         "compact": run_compact,
     }
     if name == "bronze":

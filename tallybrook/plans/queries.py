@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallybrook.contract import EVENT_FIELDS
 from tallybrook.functions import rules
-from tallybrook.operators import bronze, checks, gold, reports, silver
+from tallybrook.operators import bronze, checks, distinct, gold, reports, silver
 from tallybrook.plans import jobs, session
 from tallybrook.sources import files, intents, kafka, lanes, tables, workspace
 from tallybrook.streaming import ingest
@@ -196,6 +196,28 @@ def _changed_by_deltas(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return silver_path, gold_path
 
 
+def _key_sets(spark: SparkSession, sf_dir: str, lane: DataFrame) -> DataFrame:
+    """Bitmaps of a lane's Silver, stored in two parts, the later days first."""
+    root = workspace.new_folder(spark, "tables")
+    valid = bronze.valid_side(bronze.from_records(lanes.as_records(lane)))
+    tables.write_silver(silver.from_bronze(valid), f"{root}/silver")
+    stored = tables.read_silver(spark, f"{root}/silver")
+    days = sorted(row.event_date for row in stored.select("event_date").distinct().collect())
+    half = len(days) // 2
+    for part in (days[half:], days[:half]):
+        jobs.run_keys(spark, f"{root}/silver", f"{root}/gold", part)
+    return tables.KeySets(spark, f"{root}/gold").bitmaps()
+
+
+def distinct_by_month_and_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = F.date_format("event_date", "yyyy-MM").alias("month")
+    return distinct.distinct_counts(_key_sets(spark, sf_dir, lanes.lane_p(spark, sf_dir)), month, F.col("city"))
+
+
+def distinct_over_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct.distinct_counts(_key_sets(spark, sf_dir, lanes.lane_p(spark, sf_dir)), F.col("city"))
+
+
 def silver_former_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver of lane P, read as version 1 after a refresh wrote version 2 over it."""
     bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
@@ -285,6 +307,8 @@ _QUERIES: dict[str, Query] = {
     "states_seller_metrics": _stored_gold(_changed_by_deltas, "seller_metrics"),
     "states_city_metrics": _stored_gold(_changed_by_deltas, "city_metrics"),
     "states_platform_metrics": _stored_gold(_changed_by_deltas, "platform_metrics"),
+    "distinct_by_month_and_city": distinct_by_month_and_city,
+    "distinct_over_all_days": distinct_over_all_days,
     "bronze_damaged": bronze_damaged,
     "gold_damaged": gold_damaged,
 }

@@ -21,7 +21,7 @@ from tallybrook.contract import (
     QUARANTINE_SCHEMA,
     SILVER_SCHEMA,
 )
-from tallybrook.operators import states
+from tallybrook.operators import distinct, states
 from tallybrook.sources import id_index
 from tallybrook.sources.id_index import IdIndex
 from tallybrook.sources.snapshots import Folders, Version, VersionedTable
@@ -282,3 +282,33 @@ class GoldStates:
             base = table.version()
             table.commit(table.write(_gather_days(rows[name])), base, values, {"silver": [silver.number, *silver.folders]})
             table.clean()
+
+
+class KeySets:
+    """The stored dictionary of keys and the daily bitmaps (`operators.distinct`), beside Gold's tables."""
+
+    def __init__(self, spark: SparkSession, gold_path: str):
+        self._dictionary = VersionedTable(spark, f"{gold_path}/_keys/dictionary", "kind")
+        self._bitmaps = VersionedTable(spark, f"{gold_path}/_keys/bitmaps")
+
+    def dictionary(self) -> DataFrame:
+        return self._stored(self._dictionary, distinct.DICTIONARY_SCHEMA)
+
+    def bitmaps(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        return _between(self._stored(self._bitmaps, distinct.BITMAP_SCHEMA), "event_date", start, end)
+
+    def _stored(self, table: VersionedTable, schema: T.StructType) -> DataFrame:
+        version = table.version()
+        return table.read(schema, version) if version.number else table.empty(schema)
+
+    def update(self, silver: DataFrame, days: list[date] | None = None) -> None:
+        """Take in Silver, or its given days. Keys are only ever added, and before a bitmap uses them, so a
+        death between the two leaves numbers without use."""
+        base = self._dictionary.version()
+        added = distinct.new_keys(silver, self.dictionary())
+        self._dictionary.commit(self._dictionary.write(added), base, [])
+        base = self._bitmaps.version()
+        rows = _gather_days(distinct.bitmaps(silver, self.dictionary()))
+        self._bitmaps.commit(self._bitmaps.write(rows), base, None if days is None else [str(day) for day in days])
+        self._dictionary.clean()
+        self._bitmaps.clean()
