@@ -292,6 +292,27 @@ def _payload() -> str:
     return f"WITH {_lane_p()} SELECT '{{' || concat_ws(',', {', '.join(parts)}) || '}}' AS value FROM lane"
 
 
+# Every capture against every payout of its seller.
+_LINES = """, sides AS (
+  SELECT seller_id, event_id, event_date, event_type, seller_payout::DECIMAL(28, 10) AS amount,
+    sum(seller_payout::DECIMAL(28, 10)) OVER (PARTITION BY seller_id, event_type ORDER BY event_ts, event_id ROWS UNBOUNDED PRECEDING) AS stop
+  FROM silver WHERE event_type IN ('payment_captured', 'payout_sent') AND seller_payout::DECIMAL(28, 10) > 0 AND seller_id IS NOT NULL),
+captures AS (SELECT *, stop - amount AS start FROM sides WHERE event_type = 'payment_captured'),
+payouts AS (SELECT *, stop - amount AS start FROM sides WHERE event_type = 'payout_sent')"""
+_MATCHES = f"""{_LINES}
+SELECT c.seller_id, c.event_id AS capture_id, p.event_id AS payout_id, round(least(c.stop, p.stop) - greatest(c.start, p.start), 2)::DOUBLE AS amount
+FROM captures c JOIN payouts p ON c.seller_id = p.seller_id AND c.start < p.stop AND p.start < c.stop"""
+_OPEN = f"""{_LINES}, sent AS (SELECT seller_id, max(stop) AS sent FROM payouts GROUP BY seller_id),
+aged AS (SELECT c.*, coalesce(sent, 0) AS sent, greatest(stop - greatest(start, coalesce(sent, 0)), 0) AS unpaid,
+    (SELECT max(event_date) FROM silver) - event_date AS age FROM captures c LEFT JOIN sent USING (seller_id)),
+owed AS (SELECT seller_id, max(stop) AS earned,
+    round(coalesce(sum(CASE WHEN age BETWEEN 0 AND 7 THEN unpaid END), 0), 2)::DOUBLE AS open_0_to_7,
+    round(coalesce(sum(CASE WHEN age BETWEEN 8 AND 30 THEN unpaid END), 0), 2)::DOUBLE AS open_8_to_30,
+    round(coalesce(sum(CASE WHEN age > 30 THEN unpaid END), 0), 2)::DOUBLE AS open_over_30 FROM aged GROUP BY seller_id)
+SELECT seller_id, coalesce(open_0_to_7, 0) AS open_0_to_7, coalesce(open_8_to_30, 0) AS open_8_to_30, coalesce(open_over_30, 0) AS open_over_30,
+    round(greatest(coalesce(sent, 0) - coalesce(earned, 0), 0), 2)::DOUBLE AS paid_ahead
+FROM owed FULL JOIN sent USING (seller_id)"""
+
 ORACLES: dict[str, str] = {
     "bronze_flags": f"""{_BRONZE_P}
 SELECT event_id, is_amount_positive, payout_matches, is_valid_record FROM flagged""",
@@ -353,6 +374,10 @@ FROM silver WHERE event_type = 'payment_captured' GROUP BY ALL""",
     "distinct_over_all_days": f"""{_SILVER_P}
 SELECT city, count(DISTINCT seller_id) AS active_sellers, count(DISTINCT customer_id) AS active_customers
 FROM silver WHERE event_type = 'payment_captured' GROUP BY city""",
+    "settlement_matches": f"{_SILVER_P} {_MATCHES}",
+    "settlement_matches_l": f"{_SILVER_L} {_MATCHES}",
+    "settlement_open": f"{_SILVER_P} {_OPEN}",
+    "settlement_open_l": f"{_SILVER_L} {_OPEN}",
     "bronze_damaged": _check("bronze_readable", "1", "error", "= 1")
     + " UNION ALL "
     + _check("bronze_wrong_columns", "1", "error"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallybrook.contract import EVENT_FIELDS
 from tallybrook.functions import rules
-from tallybrook.operators import bronze, checks, distinct, gold, reports, silver
+from tallybrook.operators import bronze, checks, distinct, gold, reports, settlement, silver
 from tallybrook.plans import jobs, session
 from tallybrook.sources import files, intents, kafka, lanes, tables, workspace
 from tallybrook.streaming import ingest
@@ -218,6 +218,10 @@ def distinct_over_all_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.distinct_counts(_key_sets(spark, sf_dir, lanes.lane_p(spark, sf_dir)), F.col("city"))
 
 
+def _matches(rows: DataFrame) -> DataFrame:
+    return settlement.matches(rows).withColumn("amount", F.round("amount", 2).cast("double"))
+
+
 def silver_former_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver of lane P, read as version 1 after a refresh wrote version 2 over it."""
     bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
@@ -309,6 +313,10 @@ _QUERIES: dict[str, Query] = {
     "states_platform_metrics": _stored_gold(_changed_by_deltas, "platform_metrics"),
     "distinct_by_month_and_city": distinct_by_month_and_city,
     "distinct_over_all_days": distinct_over_all_days,
+    "settlement_matches": _on_lane_p(_matches),
+    "settlement_matches_l": _on_lane_l(_matches),
+    "settlement_open": _on_lane_p(settlement.open_by_age),
+    "settlement_open_l": _on_lane_l(settlement.open_by_age),
     "bronze_damaged": bronze_damaged,
     "gold_damaged": gold_damaged,
 }
