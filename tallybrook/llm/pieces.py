@@ -299,7 +299,7 @@ def encode(docs: DataFrame, key: Column, keep: list[str | Column], vocabulary: V
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        for batch in slices(batches, "__text", 2 << 20):
+        for batch in slices(batches, "__text", 1 << 20):
             texts = batch.column("__text").to_pylist()
             ids, ends = encode_batch(vocabulary, texts, batch.column("__seed").to_numpy())
             null = pa.array([t is None for t in texts])
