@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,13 +52,106 @@ def test_templates_generalise_merge_and_reject(spark, database):
     assert found.count() == len(pages) + 3
     by_host = {(r["host"], r["template"], r["verdict"]) for r in found.collect()}
     assert ("s.example.org", "/es/{n}", "block") in by_host and ("s.net", "/es/{n}", "block") in by_host
-    assert {t for h, t, _ in by_host if h == "m.com"} == {"/*/{n}/a{n}.html"}
+    # a labelled branch and one without labels do not merge
+    assert {t for h, t, _ in by_host if h == "m.com"} == {"/fr/{n}/a{n}.html", "/en/{n}/a{n}.html"}
     local = database.cursor()
     local.execute("CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM (VALUES " + ", ".join(f"({k}, '{u}')" for k, u in [*pages, *pages[:3]]) + ") AS t(page_id, url)")
     expected = local.execute(url_filter.oracle(URL_RULES))
     assert rows_of(found, *[c[0] for c in expected.description]) == sorted(expected.fetchall(), key=repr)
 
 
+def plain_templates(pages):
+    """pages: (id, host, segments, label). The docstring's method, a node of the tree at a time."""
+    shape = lambda v: re.sub("[0-9]+", "{n}", v) if re.search("[0-9]", v) else "{w}"
+    node = {k: () for k, *_ in pages}
+    for level in range(max((len(s) for _, _, s, _ in pages), default=0)):
+        below, pool = defaultdict(Counter), defaultdict(Counter)
+        for k, host, segments, _ in pages:
+            if len(segments) > level:
+                below[host, node[k]][segments[level]] += 1
+                pool[node[k]][segments[level]] += 1
+        grown = {}
+        for k, host, segments, _ in pages:
+            if len(segments) > level:
+                v, here, all_ = segments[level], below[host, node[k]], pool[node[k]]
+                common = all_[v] >= 4 and all_[v] / all_.total() >= 1 / 50
+                recurs = here.total() / len(here) >= 4 and here[v] / here.total() >= 1 / 50
+                grown[k] = (*node[k], v if common or recurs else shape(v))
+        node |= grown
+    tally = lambda key: {x: (sum(lab is not None for _, lab in g), sum(lab or 0 for _, lab in g)) for x, g in groups(key).items()}
+
+    def groups(key):
+        found = defaultdict(list)
+        for k, host, _, label in pages:
+            for x in key(k, host):
+                found[x].append((k, label))
+        return found
+
+    for level in reversed(range(max(map(len, node.values()), default=0))):
+        counts = tally(lambda k, host: [(host, node[k])])
+        siblings = defaultdict(set)
+        for host, path in counts:
+            if len(path) > level and "{" not in path[level] and path[level] != "*" and counts[host, path][0]:
+                siblings[host, (*path[:level], "*", *path[level + 1 :])].add(path)
+        change = {}
+        for (host, general), branches in siblings.items():
+            n, bad = (sum(counts[host, b][x] for b in branches) for x in (0, 1))
+            for b in branches if len(branches) > 1 else ():
+                own_n, own_bad = counts[host, b]
+                if (own_bad / own_n - bad / n) ** 2 <= 1.96**2 * bad * (n - bad) / n**2 / own_n + 1e-12:
+                    change[host, b] = general
+        node = {k: change.get((host, node[k]), node[k]) for k, host, _, _ in pages}
+    often = Counter((i, v) for _, _, s, _ in pages for i, v in enumerate(s))
+    deepest = max((i + 1 for (i, _), n in often.items() if n >= 4), default=0)
+    by_host, by_path = tally(lambda k, host: [(host, node[k])]), tally(lambda k, host: [node[k]])
+    by_prefix = tally(lambda k, host: [(i, node[k][:i]) for i in range(min(len(node[k]), deepest) + 1)])
+    found = {}
+    for k, host, _, label in pages:
+        path = node[k]
+        chain = [by_prefix[i, path[:i]] for i in range(min(len(path), deepest) + 1)]
+        rate = chain[0][1] / chain[0][0] if chain[0][0] else 0.0
+        for n, bad in (*chain[1:], by_path[path], by_host[host, path]):
+            rate = (bad + 10 * rate) / (n + 10)
+        known = by_path[path][0] > 0 or any(n for n, _ in chain[1:])
+        verdict = label if label is not None else int(known and rate > 0.5)
+        found[k] = ("/" + "/".join(path), ("allow", "block")[verdict])
+    return found
+
+
+def plain_label(host, path, rules):
+    fitting = [(len(r), kind) for kind, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    return None if not fitting else int(max(fitting)[1] == "block")
+
+
+def test_templates_equal_a_plain_tree(spark, database):
+    draw = np.random.default_rng(8)
+    hosts = ["a.com", "b.com", "w.example.org", "x.org", "n.net", "m.net", *(f"h{k}.net" for k in range(30))]
+    pages = []
+    for k in range(1500):
+        host = hosts[0] if k % 3 == 0 else hosts[draw.integers(len(hosts))]
+        parts = [draw.choice(["es", "de", "fr", "en", f"w{k}x", "blog"]), str(draw.integers(5000)), draw.choice(["a", "b", f"p{k}.html"]), "deep", draw.choice(["x", "y", f"{k}"])]
+        pages.append((k, f"x://{host}/" + "/".join(parts[: draw.integers(0, 6)])))
+    table = spark.createDataFrame(pages, "page_id bigint, url string")
+    judged = url_filter.judge_urls(table, URL_RULES)
+    found = {r["page_id"]: (r["template"], r["verdict"]) for r in judged.collect()}
+    parsed = [(k, u[4:].split("/")[0], "/" + u[4:].split("/", 1)[1]) for k, u in pages]
+    plain = plain_templates([(k, h, [s for s in p.split("/") if s], plain_label(h, p, URL_RULES)) for k, h, p in parsed])
+    assert {k: (found[k], plain[k]) for k in plain if found[k] != plain[k]} == {}
+    assert {v for _, v in plain.values()} == {"allow", "block"} and any(t.count("/") == 5 and t.endswith("/x") for t, _ in plain.values())
+    local = database.cursor()
+    local.execute("CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM (VALUES " + ", ".join(f"({k}, '{u}')" for k, u in pages) + ") AS t(page_id, url)")
+    expected = local.execute(url_filter.oracle(URL_RULES))
+    assert rows_of(judged, *[c[0] for c in expected.description]) == sorted(expected.fetchall(), key=repr)
+
+
+def test_hosts_without_labels_are_judged_by_the_path(spark):
+    pages = [(k, f"x://s.example.org/es/{k}") for k in range(30)] + [(100 + k, f"x://s.org/fr/{k}") for k in range(30)]
+    pages += [(200 + k, f"x://u.net/{lang}/{k}/a/b{k}/c") for k, lang in enumerate(["es", "fr"] * 5)]
+    pages += [(300, "x://u.net/es/" + "/".join(f"s{k}" for k in range(3000))), (None, "x://u.net/" * 3), (301, "x://u.net/" + "y" * 100_000)]
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string"), URL_RULES).collect()}
+    assert [found[200 + k] for k in range(10)] == ["block", "allow"] * 5
+
+
 def test_empty_urls(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id bigint, url string"), URL_RULES).count() == 0
 
