@@ -3,8 +3,9 @@
 Method: a text's features are its hashed words and byte 4-grams, each family scaled to unit sum, and
 a few ratios. One weight vector is shared by all grades; ordered thresholds cut its score, so that
 P(grade > j) = logistic(score - threshold_j). The result is the expected grade and the probability of
-each tail, by which texts are selected. Trained by full-batch Adam on about `TRAIN_DOCS` rated texts
-of at most `TRAIN_CHARS` characters, taken by a hash of the id.
+each tail, by which texts are selected. Trained by full-batch Adam on about `TRAIN_DOCS` rated texts a
+grade, of at most `TRAIN_CHARS` characters, taken by a hash of the id; a grade that is drawn in part
+counts as much as all of it, so that a rare grade is learned from and stays rare.
 
 Cases: a null text has the features of an empty one; grades are 0, 1, ... and null grades are not
 learned from; a text with several grades counts as the lowest; with fewer than two grades among the
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tallybrook.llm.common import arrow_map, schema_with, slices
 from tallybrook.llm.textarrays import gram_buckets, joined, ranges, segment_sums, span_hashes, word_spans
 
-TRAIN_DOCS = 2500
+TRAIN_DOCS = 1250  # a grade
 TRAIN_CHARS = 10_000
 BITS = 15
 RATIOS = 6
@@ -97,8 +98,25 @@ class OrdinalModel:
         return _logistic(features.scores(self.weights)[:, None] - self.thresholds)
 
 
-def train(texts: list[str], grades: np.ndarray, steps: int = 250, rate: float = 0.1, decay: float = 1e-5) -> OrdinalModel:
+def loss_and_slopes(scores: np.ndarray, thresholds: np.ndarray, grades: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean negative log likelihood of `grades`, each counted `counts` times, and its slope in each
+    text's distance to each threshold."""
+    n, levels = len(scores), len(thresholds)
+    tails = _logistic(scores[:, None] - thresholds)
+    # likelihood of the observed grade: the difference of two neighbouring tails
+    padded = np.concatenate([np.ones((n, 1)), tails, np.zeros((n, 1))], axis=1)
+    likely = np.maximum(padded[np.arange(n), grades] - padded[np.arange(n), grades + 1], 1e-9)
+    d_tail = np.zeros((n, levels + 2))
+    d_tail[np.arange(n), grades] += 1 / likely
+    d_tail[np.arange(n), grades + 1] -= 1 / likely
+    part = counts / counts.sum()
+    return float(-(part * np.log(likely)).sum()), -d_tail[:, 1:-1] * tails * (1 - tails) * part[:, None]
+
+
+def train(texts: list[str], grades: np.ndarray, counts: np.ndarray | None = None, steps: int = 250, rate: float = 0.1, decay: float = 1e-5) -> OrdinalModel:
+    """Fit to `texts`; `counts` says how many texts each stands for."""
     grades = np.asarray(grades, int)
+    counts = np.ones(len(grades)) if counts is None else np.asarray(counts, float)
     weights = np.zeros((2 << BITS) + RATIOS)
     if len(set(grades.tolist())) < 2:
         return OrdinalModel(weights, np.zeros(0), float(grades[0]) if len(grades) else 0.0)
@@ -106,7 +124,7 @@ def train(texts: list[str], grades: np.ndarray, steps: int = 250, rate: float =
     order = np.argsort(row, kind="stable")
     row, column, value = row[order], column[order], value[order] * 1.0
     levels = int(grades.max())
-    share = np.clip([(grades > j).mean() for j in range(levels)], 1e-3, 1 - 1e-3)
+    share = np.clip([np.average(grades > j, weights=counts) for j in range(levels)], 1e-3, 1 - 1e-3)
     first = -np.log(share[0] / (1 - share[0]))
     gaps = np.log(np.maximum(np.diff(-np.log(share / (1 - share))), 1e-2))
     parameters = [weights, np.array([first]), gaps]
@@ -114,15 +132,7 @@ def train(texts: list[str], grades: np.ndarray, steps: int = 250, rate: float =
     for step in range(1, steps + 1):
         thresholds = parameters[1] + np.append(0, np.cumsum(np.exp(parameters[2])))
         scores = np.bincount(row, weights[column] * value, len(texts))
-        # likelihood of the observed grade: the difference of two neighbouring tails
-        tails = _logistic(scores[:, None] - thresholds)
-        padded = np.concatenate([np.ones((len(texts), 1)), tails, np.zeros((len(texts), 1))], axis=1)
-        likely = np.maximum(padded[np.arange(len(texts)), grades] - padded[np.arange(len(texts)), grades + 1], 1e-9)
-        slope = tails * (1 - tails)
-        d_tail = np.zeros((len(texts), levels + 2))
-        d_tail[np.arange(len(texts)), grades] += 1 / likely
-        d_tail[np.arange(len(texts)), grades + 1] -= 1 / likely
-        d_linear = -d_tail[:, 1:-1] * slope / len(texts)  # of the mean negative log likelihood
+        _, d_linear = loss_and_slopes(scores, thresholds, grades, counts)
         d_threshold = -d_linear.sum(axis=0)
         gradients = [
             np.bincount(column, value * d_linear.sum(axis=1)[row], len(weights)) + decay * weights,
@@ -136,17 +146,18 @@ def train(texts: list[str], grades: np.ndarray, steps: int = 250, rate: float =
     return OrdinalModel(weights, parameters[1] + np.append(0, np.cumsum(np.exp(parameters[2]))))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, id_column: str = "doc_id", train_docs: int = TRAIN_DOCS) -> OrdinalModel:
+def fit(docs: DataFrame, ratings: DataFrame, id_column: str = "doc_id", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> OrdinalModel:
     """Train on a bounded sample of rated texts; `ratings` has the id and `grade`."""
     known = ratings.where("grade is not null").groupBy(id_column).agg(F.min("grade").alias("grade"))
-    total = max(known.count(), 1)
+    shares = known.groupBy(F.col("grade").alias("__grade")).agg(F.least(F.lit(1.0), train_docs / F.count("*")).alias("share"))
+    drawn = known.join(F.broadcast(shares), F.col("grade") == F.col("__grade")).drop("__grade")  # a row a grade
     draw = F.pmod(F.xxhash64(id_column, F.lit("rated")), F.lit(1 << 30))
-    chosen = F.broadcast(known.where(draw < int(min(1.0, train_docs / total) * (1 << 30))))  # about train_docs rows
-    rows = docs.where(F.length("text") <= TRAIN_CHARS).select(id_column, "text").join(chosen, id_column)
+    chosen = F.broadcast(drawn.where(draw < F.col("share") * (1 << 30)))  # about train_docs rows a grade
+    rows = docs.where(F.length("text") <= train_chars).select(id_column, "text").join(chosen, id_column)
     text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).getField("text")  # one of an id that repeats
-    rows = rows.groupBy(id_column).agg(text.alias("text"), F.first("grade").alias("grade")).toPandas()
+    rows = rows.groupBy(id_column).agg(text.alias("text"), F.first("grade").alias("grade"), F.first("share").alias("share")).toPandas()
     rows = rows.sort_values([id_column, "text"])
-    return train(rows["text"].tolist(), rows["grade"].to_numpy())
+    return train(rows["text"].tolist(), rows["grade"].to_numpy(), 1 / rows["share"].to_numpy(float))
 
 
 def rate(docs: DataFrame, model: OrdinalModel, keep: list[str | Column]) -> DataFrame:

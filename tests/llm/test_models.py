@@ -150,6 +150,28 @@ def test_ordinal_regression_orders_grades():
     assert quality_model.train(["a"], np.array([2])).only == 2.0 and quality_model.train([], np.array([])).only == 0.0
 
 
+def test_ordinal_slopes_equal_differences():
+    draw = np.random.default_rng(6)
+    scores, thresholds = draw.normal(0, 2, 20), np.array([-1.0, 0.3, 1.1])
+    grades, counts = draw.integers(0, 4, 20), draw.integers(1, 5, 20).astype(float)
+    loss, slopes = quality_model.loss_and_slopes(scores, thresholds, grades, counts)
+    chance = 1 / (1 + np.exp(thresholds[None, :] - scores[:, None]))
+    each = -np.diff(np.concatenate([np.ones((20, 1)), chance, np.zeros((20, 1))], axis=1), axis=1)[np.arange(20), grades]
+    assert loss == pytest.approx(-(counts * np.log(each)).sum() / counts.sum())
+    for found, move in ((slopes.sum(axis=1), lambda k, e: (scores + e * (np.arange(20) == k), thresholds)), (-slopes.sum(axis=0), lambda k, e: (scores, thresholds + e * (np.arange(3) == k)))):
+        for k, slope in enumerate(found):
+            up, down = (quality_model.loss_and_slopes(*move(k, e), grades, counts)[0] for e in (1e-6, -1e-6))
+            assert slope == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_a_rare_grade_is_learned_from(spark):
+    docs = spark.createDataFrame([(k, ("rare find " if k % 500 == 0 else "plain thing " if k % 2 else "dull stuff ") * 20) for k in range(10_000)], "doc_id bigint, text string")
+    ratings = docs.select("doc_id", F.when(F.col("doc_id") % 500 == 0, 2).otherwise(F.col("doc_id") % 2).cast("int").alias("grade"))
+    model = quality_model.fit(docs, ratings, train_docs=100)
+    grade = {r["text"][:4]: r["expected_grade"] for r in quality_model.rate(docs, model, ["doc_id", "text"]).collect()}
+    assert grade["rare"] > 1.5 and 0.5 < grade["plai"] < 1.5 and grade["dull"] < 0.5
+
+
 def test_features_do_not_depend_on_the_batch():
     texts = ["Some Text, here!", "", None, "x" * 9, "again again ### again"]
     weights = np.random.default_rng(2).normal(size=(2 << quality_model.BITS) + quality_model.RATIOS)
