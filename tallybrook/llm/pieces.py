@@ -38,6 +38,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANK_OFFSET = 10.0
 UNKNOWN = 1e-6  # weight of a character that is spelled in bytes
 LONG = 48
+SLICE_BYTES = 512 << 10  # of texts that a task holds as arrays at a time
 SPACE = 0x2581  # fixed value: the model's sign for a space
 LITERAL = 0x110000  # stands for that sign in a text
 _WORD = re.compile(" +[^ ]*")
@@ -299,7 +300,7 @@ def encode(docs: DataFrame, key: Column, keep: list[str | Column], vocabulary: V
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        for batch in slices(batches, "__text", 1 << 20):
+        for batch in slices(batches, "__text", SLICE_BYTES):
             texts = batch.column("__text").to_pylist()
             ids, ends = encode_batch(vocabulary, texts, batch.column("__seed").to_numpy())
             null = pa.array([t is None for t in texts])

@@ -32,7 +32,8 @@ TRAIN_CHARS = 10_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED = 8, 8
 WORD_BITS, GRAM_BITS = 14, 16
-BLOCK = 4096  # windows computed at a time
+BLOCK = 1024  # windows computed at a time
+SLICE_BYTES = 512 << 10  # of texts that a task holds as arrays at a time
 
 
 class Words:
@@ -316,7 +317,7 @@ def score(docs: DataFrame, model: tuple[Network | None, float], keep: list[str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in slices(batches, "__text", 2 << 20):
+        for batch in slices(batches, "__text", SLICE_BYTES):
             texts = batch.column("__text").to_pylist()
             values = net.scores(Words(texts)) if net else np.full(len(texts), min(rate, 0.49))
             columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"]

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallybrook.llm import elias_fano, language_id, lm_score, quality_model, toxicity
-from tallybrook.llm.common import fold
+from tallybrook.llm.common import arrow_map, fold, slices
 from tallybrook.llm.queries import QUERIES
 from tallybrook.llm.textarrays import joined, span_hashes, word_spans
 
@@ -113,6 +115,30 @@ def test_windows_overlap_and_cover():
         assert seen == set(range(n)) and (size[own] <= toxicity.WINDOW).all()
 
 
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    rows = spark.range(0, 8000, 1, 1).select(F.expr("repeat('x', 4096)").alias("text"))  # 32 MB in one task
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    found = arrow_map(rows, sizes, "n bigint, size bigint").collect()
+    assert sum(r["n"] for r in found) == 8000 and max(r["size"] for r in found) < 9 << 20
+
+
+def test_toxicity_holds_little_of_its_texts_as_arrays():
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in draw.integers(0, 50_000, 350)) for _ in range(1000)]
+    batch, net, scores = pa.RecordBatch.from_arrays([pa.array(texts)], names=["__text"]), toxicity.Network.fresh(), []
+    tracemalloc.start()
+    for part in slices(iter([batch]), "__text", toxicity.SLICE_BYTES):
+        scores.append(net.scores(toxicity.Words(part.column("__text").to_pylist())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # 105 MB with slices of 2 MB and 4096 windows at a time
+    assert np.allclose(np.concatenate(scores), net.scores(toxicity.Words(texts)), atol=1e-6)
+
+
 def test_toxicity_on_held_out_texts(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     rows = docs.join(labels, "doc_id").where("n_chars < 8000 and quality = 1").orderBy("doc_id").select("doc_id", "text", "toxic").collect()
