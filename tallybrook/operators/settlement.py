@@ -75,20 +75,44 @@ def matches(silver: DataFrame) -> DataFrame:
 
 def open_by_age(silver: DataFrame) -> DataFrame:
     """Per seller, what captures are not paid for yet, by their age in days at the table's last day, and
-    what was paid ahead of captures."""
-    intervals = _intervals(silver)
-    sent = intervals.where(~F.col("is_capture")).groupBy("seller_id").agg(F.max("stop").alias("sent"))
-    last_day = silver.agg(F.max("event_date")).first()[0]
-    age = F.date_diff(F.lit(last_day), "event_date")
-    captures = intervals.where("is_capture").join(sent, "seller_id", "left").withColumn("sent", F.coalesce("sent", F.lit(0).cast(_MONEY)))
-    unpaid = F.greatest(F.col("stop") - F.greatest("start", "sent"), F.lit(0).cast(_MONEY))
-    lows = [0, *[days + 1 for days in AGES]]
+    what was paid ahead of captures.
+
+    Captures of a day lie end to end on the seller's line, so what is open of them is the part of the
+    day's stretch beyond all payouts: sums per seller and day suffice, and are exact. Rows that settle
+    nothing only count for the last day. It and the lines read the same sums, as the shuffle that makes
+    them is used again; so `silver` is computed once.
+    """
+    amount = money.exact(F.col("seller_payout"))
+    settles = F.col("event_type").isin(CAPTURED, PAYOUT_SENT) & (amount > 0) & F.col("event_date").isNotNull()
+    rows = silver.select(
+        "event_date",
+        F.when(settles, F.col("seller_id")).alias("seller_id"),
+        *[F.when(settles & F.col("seller_id").isNotNull() & (F.col("event_type") == kind), amount).alias(name) for name, kind in (("earned", CAPTURED), ("sent", PAYOUT_SENT))],
+    )
+    sums = rows.groupBy("seller_id", "event_date").agg(*[F.sum(name).cast(_MONEY).alias(name) for name in ("earned", "sent")])
+    # the sums go into this maximum to keep both sides alike; a filter on the seller would be pushed below them
+    last = sums.agg(F.max(F.struct("event_date", "earned", "sent")).getField("event_date").alias("last_day"))
+    days = sums.where("earned IS NOT NULL OR sent IS NOT NULL")
+
+    zero = F.lit(0).cast(_MONEY)
+    whole = Window.partitionBy("seller_id")
+    so_far = whole.orderBy("event_date").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumns(
+        {
+            "earned": F.coalesce("earned", zero),
+            "stop": F.coalesce(F.sum("earned").over(so_far), zero).cast(_MONEY),
+            "all_sent": F.coalesce(F.sum("sent").over(whole), zero).cast(_MONEY),
+        }
+    )
+    start = (F.col("stop") - F.col("earned")).cast(_MONEY)
+    unpaid = F.greatest(F.col("stop") - F.greatest(start, "all_sent"), zero)
+    age = F.date_diff("last_day", "event_date")
+    lows = [0, *[days_old + 1 for days_old in AGES]]
     ages = {f"open_{low}_to_{high}": age.between(low, high) for low, high in zip(lows, AGES)} | {f"open_over_{AGES[-1]}": age > AGES[-1]}
+    aged = days.crossJoin(last).select("seller_id", "stop", "all_sent", *[F.when(is_in, unpaid).alias(name) for name, is_in in ages.items()])
 
     def cents(amount: Column) -> Column:
-        return F.round(F.coalesce(F.sum(amount), F.lit(0)), 2).cast("double")
+        return F.round(F.coalesce(amount, F.lit(0)), 2).cast("double")
 
-    per_seller = captures.groupBy("seller_id").agg(F.max("stop").alias("earned"), *[cents(F.when(is_in, unpaid)).alias(name) for name, is_in in ages.items()])
-    both = per_seller.join(sent, "seller_id", "full_outer")
-    ahead = F.greatest(F.coalesce("sent", F.lit(0).cast(_MONEY)) - F.coalesce("earned", F.lit(0).cast(_MONEY)), F.lit(0).cast(_MONEY))
-    return both.select("seller_id", *[F.coalesce(name, F.lit(0.0)).alias(name) for name in ages], F.round(ahead, 2).cast("double").alias("paid_ahead"))
+    ahead = F.greatest(F.max("all_sent") - F.max("stop"), zero)
+    return aged.groupBy("seller_id").agg(*[cents(F.sum(name)).alias(name) for name in ages], F.round(ahead, 2).cast("double").alias("paid_ahead"))

@@ -97,3 +97,26 @@ def test_no_events(spark):
     rows = stored(spark, random_events(5, 1)).limit(0)
     assert settlement.matches(rows).count() == 0
     assert settlement.open_by_age(rows.withColumn("event_date", F.col("event_date"))).count() == 0
+
+
+def test_open_amounts_take_one_pass_over_silver(spark):
+    rows = stored(spark, random_events(200, seed=5))
+    kept = rows.select("event_id").collect()
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counted = rows.mapInArrow(count, rows.schema)
+    assert settlement.open_by_age(counted).collect()
+    assert seen.value == len(kept)
+
+
+def test_the_last_day_may_be_one_that_settles_nothing(spark):
+    late = {"event_type": "payment_failed", "event_timestamp": "2026-03-30T00:00:00.000000+00:00"}
+    early = {"event_type": "payment_captured", "event_timestamp": "2026-03-01T00:00:00.000000+00:00"}
+    rows = stored(spark, [event(event_id="a", **early), event(event_id="b", **late)])
+    (row,) = settlement.open_by_age(rows).collect()
+    assert row["open_0_to_7"] == 0 and row["open_8_to_30"] > 0 and row["open_over_30"] == 0
