@@ -155,7 +155,7 @@ def batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rebuilt(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Silver and Gold of lane C, built by the batch job."""
     bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
-    _put_bronze(lanes.lane_c(spark, sf_dir), bronze_path, "2026-01-01", 0)
+    _put_bronze(lanes.lane_c(spark, sf_dir, spread=True), bronze_path, "2026-01-01", 0)
     jobs.run_batch(spark, bronze_path, *_paths_beside(bronze_path))
     return _paths_beside(bronze_path)
 
@@ -163,9 +163,9 @@ def _rebuilt(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 def _refreshed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """The same in two parts: lane P by the batch job, then its later copies by a refresh."""
     bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
-    _put_bronze(lanes.lane_p(spark, sf_dir), bronze_path, "2026-01-01", 0)
+    _put_bronze(lanes.lane_p(spark, sf_dir, spread=True), bronze_path, "2026-01-01", 0)
     jobs.run_batch(spark, bronze_path, *_paths_beside(bronze_path))
-    _put_bronze(lanes.later_copies(spark, sf_dir), bronze_path, "2026-01-02", 1)
+    _put_bronze(lanes.later_copies(spark, sf_dir, spread=True), bronze_path, "2026-01-02", 1)
     jobs.run_refresh(spark, bronze_path, *_paths_beside(bronze_path), start="2026-01-02")
     return _paths_beside(bronze_path)
 
@@ -174,9 +174,9 @@ def _refreshed_after_a_death(spark: SparkSession, sf_dir: str) -> tuple[str, str
     """The same, where the first refresh got as far as Silver: its Gold is that of before."""
     bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
     silver_path, gold_path = _paths_beside(bronze_path)
-    _put_bronze(lanes.lane_p(spark, sf_dir), bronze_path, "2026-01-01", 0)
+    _put_bronze(lanes.lane_p(spark, sf_dir, spread=True), bronze_path, "2026-01-01", 0)
     jobs.run_batch(spark, bronze_path, silver_path, gold_path)
-    _put_bronze(lanes.later_copies(spark, sf_dir), bronze_path, "2026-01-02", 1)
+    _put_bronze(lanes.later_copies(spark, sf_dir, spread=True), bronze_path, "2026-01-02", 1)
     nowhere = f"{workspace.new_folder(spark, 'tables')}/gold"
     days = jobs.run_refresh(spark, bronze_path, silver_path, nowhere, start="2026-01-02")
     intents.store(spark, silver_path, intents.Intent(tuple(map(str, days)), "2026-01-02", None))
@@ -188,10 +188,10 @@ def _changed_by_deltas(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """The same, with Gold from states that the refresh changes by what goes and what comes."""
     bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
     silver_path, gold_path = _paths_beside(bronze_path)
-    _put_bronze(lanes.lane_p(spark, sf_dir), bronze_path, "2026-01-01", 0)
+    _put_bronze(lanes.lane_p(spark, sf_dir, spread=True), bronze_path, "2026-01-01", 0)
     jobs.run_silver(spark, bronze_path, silver_path)
     jobs.run_gold(spark, silver_path, gold_path, states=True)
-    _put_bronze(lanes.later_copies(spark, sf_dir), bronze_path, "2026-01-02", 1)
+    _put_bronze(lanes.later_copies(spark, sf_dir, spread=True), bronze_path, "2026-01-02", 1)
     jobs.run_refresh(spark, bronze_path, silver_path, gold_path, start="2026-01-02")
     return silver_path, gold_path
 
@@ -226,9 +226,9 @@ def silver_former_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver of lane P, read as version 1 after a refresh wrote version 2 over it."""
     bronze_path = f"{workspace.new_folder(spark, 'tables')}/bronze"
     silver_path, gold_path = _paths_beside(bronze_path)
-    _put_bronze(lanes.lane_p(spark, sf_dir), bronze_path, "2026-01-01", 0)
+    _put_bronze(lanes.lane_p(spark, sf_dir, spread=True), bronze_path, "2026-01-01", 0)
     jobs.run_batch(spark, bronze_path, silver_path, gold_path)
-    _put_bronze(lanes.later_copies(spark, sf_dir), bronze_path, "2026-01-02", 1)
+    _put_bronze(lanes.later_copies(spark, sf_dir, spread=True), bronze_path, "2026-01-02", 1)
     jobs.run_refresh(spark, bronze_path, silver_path, gold_path, start="2026-01-02", keep_versions=2)
     return _silver_columns(tables.read_silver(spark, silver_path, version=1))
 

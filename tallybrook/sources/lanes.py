@@ -40,21 +40,29 @@ def _id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.concat_ws("_", *parts))
 
 
-def lane_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, spread: bool) -> DataFrame:
+    """The table; with `spread` dealt by id over all cores. A scan has as many tasks as the files have
+    row groups, and to encode, parse and write a row costs far more than to read and shuffle it.
+    """
+    events = _table(spark, sf_dir, "events")
+    return events.repartition("event_id") if spread else events
+
+
+def lane_p(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Event columns and `kafka_ingest_ts`."""
-    return _from_events(_table(spark, sf_dir, "events"))
+    return _from_events(_events(spark, sf_dir, spread))
 
 
-def later_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def later_copies(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Every seventh event of lane P once more: a day later, by one unit dearer."""
-    events = _table(spark, sf_dir, "events").where(F.col("event_id") % 7 == 0)
+    events = _events(spark, sf_dir, spread).where(F.col("event_id") % 7 == 0)
     return _from_events(
         events.withColumns({"value": F.col("value") + 1, "ts": F.col("ts") + F.expr("INTERVAL 1 DAY")})
     )
 
 
-def lane_c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lane_p(spark, sf_dir).unionByName(later_copies(spark, sf_dir))
+def lane_c(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return lane_p(spark, sf_dir, spread).unionByName(later_copies(spark, sf_dir, spread))
 
 
 def _from_events(events: DataFrame) -> DataFrame:

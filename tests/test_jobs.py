@@ -242,3 +242,22 @@ def test_folders_are_new_and_shared(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     one, two = workspace.new_folder(spark, "x"), workspace.new_folder(spark, "x")
     assert one != two and one.startswith(shared)
+
+
+def test_bronze_of_a_table_in_one_row_group_is_written_by_many_tasks(spark, sf_dir, monkeypatch):
+    from tallybrook.plans import queries
+    from tallybrook.sources import lanes
+
+    for job in ("run_batch", "run_refresh"):
+        monkeypatch.setattr(queries.jobs, job, lambda *_, **__: None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        silver_path, _ = queries._refreshed(spark, sf_dir)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = spark.read.parquet(silver_path.removesuffix("/silver") + "/bronze")
+    names = written.select("ingest_date", F.input_file_name().alias("file")).distinct().groupBy("ingest_date").count()
+    days = {str(r["ingest_date"]): r["count"] for r in names.collect()}
+    assert days == {"2026-01-01": 4, "2026-01-02": 4}  # spark.sql.shuffle.partitions of the tests
+    plain, dealt = lanes.lane_c(spark, sf_dir), lanes.lane_c(spark, sf_dir, spread=True)
+    assert dealt.exceptAll(plain).isEmpty() and plain.exceptAll(dealt).isEmpty()
