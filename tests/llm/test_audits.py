@@ -54,6 +54,14 @@ def plain_audit(docs, good, toxic):
     return out
 
 
+def test_labels_are_not_broadcast(spark, sf_dir):
+    """Each label is there sixteen times, which Spark's estimate leaves out."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    facts = filter_audit._facts(docs, "doc_id", "text", "lang")
+    plan = filter_audit._labelled(facts, labels, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 METRICS = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
 
 
